@@ -1,9 +1,656 @@
+"""Every query of the engine over the supplied tables, with the same in SQL where SQL can say it."""
+
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from querent.functions import text as X
+from querent.operators import audit, bm25, calibration, chunks, compare, dense, metrics, rank, reader, scoring
+from querent.plans import views as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+# ---- SQL fragments that mirror the scalar functions
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+_SQUAD = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '')), '[!-/:-@\[-`{{-~]', '', 'g'), '[\s\x1c-\x1f]+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the'))"
+_GOLDS = "list_transform(CASE WHEN len(answers) = 0 THEN [''] ELSE answers END, lambda a: " + _SQUAD.format("a") + ")"
+_NAMED = r"(raw_answer IS NOT NULL AND regexp_matches(raw_answer, '\S'))"
+
+
+def _em(answer: str) -> str:
+    return f"(CASE WHEN list_contains({_GOLDS}, {_SQUAD.format(answer)}) THEN 1.0 ELSE 0.0 END)::DOUBLE"
+
+
+def _f1(answer: str) -> str:
+    p = _SQUAD.format(answer)
+    common = f"list_sum(list_transform(list_distinct({p}), lambda t: least(len(list_filter({p}, lambda x: x = t)), len(list_filter(g, lambda x: x = t)))))"
+    one = f"CASE WHEN len({p}) + len(g) = 0 THEN 1.0 ELSE coalesce(2.0 * {common} / (len({p}) + len(g)), 0.0) END"
+    return f"list_max(list_transform({_GOLDS}, lambda g: ({one})::DOUBLE))"
+
+
+_SCORED = f"""{V.SQL_ROWS},
+a AS (SELECT e.*, x.abstain_at, {_NAMED} AND (x.abstain_at IS NULL OR confidence >= x.abstain_at) AS ok FROM e JOIN experiments x USING (experiment)),
+b AS (SELECT *, CASE WHEN ok THEN raw_answer ELSE '' END AS answer FROM a),
+em AS (SELECT *, {_em('answer')} AS answer_em, len(list_intersect(ranked_ids[1:3], relevant_ids)) AS hits FROM b),
+s AS (SELECT *, CASE WHEN len(relevant_ids) = 0 THEN CASE WHEN NOT regexp_matches(answer, '\\S') THEN 'correct_abstention' ELSE 'unanswerable_false_positive' END
+    WHEN hits = 0 THEN 'retrieval_miss' WHEN NOT regexp_matches(answer, '\\S') THEN 'false_abstention' WHEN answer_em = 1 THEN 'correct' ELSE 'reader_failure' END AS failure FROM em)""".replace("\\\\S", "\\S")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _test_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The held-out questions: the stated query set of the searches."""
+    return V.questions(spark, sf).filter("split = 'test'")
+
+
+def _r(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Rounds the doubles, so that sums in another order are the same result."""
+    return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# ---- text
+
+@query(f"WITH {V.SQL_CORPUS} SELECT doc_id, len({_WORDS.format('text')}) AS tokens, len(list_distinct({_WORDS.format('text')})) AS distinct_tokens FROM c")
+def tokens(spark, sf):
+    own = X.tokens(F.col("text"))
+    return V.corpus(spark, sf).select("doc_id", F.size(own).alias("tokens"), F.size(F.array_distinct(own)).alias("distinct_tokens"))
+
+
+@query()
+def tokens_configured(spark, sf):
+    return V.corpus(spark, sf).select("doc_id", F.size(X.tokens_configured("NFKC", 3)("text")).alias("tokens"))
+
+
+@query(f"WITH {V.SQL_ATTEMPTS} SELECT attempt_id, array_to_string({_SQUAD.format('raw_answer')}, ' ') AS normalized FROM t")
+def normalize_squad(spark, sf):
+    return V.attempts(spark, sf).select("attempt_id", F.concat_ws(" ", X.answer_tokens(F.col("raw_answer"))).alias("normalized"))
+
+
+@query()
+def normalize_unicode(spark, sf):
+    return V.attempts(spark, sf).select("attempt_id", X.normalize_unicode("raw_answer").alias("normalized"))
+
+
+@query(f"""WITH {V.SQL_CORPUS}, {V.SQL_QUESTIONS},
+    p AS (SELECT query_id, unnest(relevant_ids) AS doc_id, answers[1] AS answer FROM q WHERE len(answers) > 0 AND len(relevant_ids) > 0)
+    SELECT query_id, doc_id, answer, i AS start, i + length(answer) AS "end"
+    FROM (SELECT query_id, doc_id, answer, text, unnest(range(0, greatest(0, length(text) - length(answer) + 1))) AS i FROM p JOIN c USING (doc_id))
+    WHERE text[i + 1 : i + length(answer)] = answer""")
+def answer_spans(spark, sf):
+    asked = V.questions(spark, sf).filter("size(answers) > 0").select("query_id", F.explode("relevant_ids").alias("doc_id"), F.col("answers")[0].alias("answer"))
+    spans = asked.join(V.corpus(spark, sf), "doc_id").select("query_id", "doc_id", "answer", F.explode(X.answer_spans(F.col("text"), F.col("answer"))).alias("x"))
+    return spans.select("query_id", "doc_id", "answer", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"))
+
+
+@query("SELECT query_id, question IS NOT NULL AND regexp_matches(question, '\\S') AND length(question) <= 2048 AS valid FROM (SELECT DISTINCT query_id, question FROM queries)")
+def valid_request(spark, sf):
+    return V.read(spark, sf, "queries").select("query_id", "question").distinct().select("query_id", X.valid_request(F.col("question")).alias("valid"))
+
+
+@query(f"WITH {V.SQL_CORPUS} SELECT doc_id, len({_WORDS.format('text')}) AS tokens, len({_WORDS.format('text')}) > 128 AS truncated FROM c")
+def truncate_audit(spark, sf):
+    return V.corpus(spark, sf).select("doc_id", X.truncate_audit(F.col("text"), 128).alias("x")).select("doc_id", "x.tokens", "x.truncated")
+
+
+@query(f"""WITH {V.SQL_CORPUS}, n AS (SELECT *, CASE WHEN length(text) <= 512 THEN 1 ELSE ceil((length(text) - 512) / 448.0)::INT + 1 END AS n FROM c WHERE text IS NOT NULL),
+    o AS (SELECT *, unnest(range(0, n)) AS i FROM n)
+    SELECT doc_id AS parent_id, i::INT AS ordinal, (i * 448)::INT AS start, least(i * 448 + 512, length(text))::INT AS "end", md5(text[i * 448 + 1 : i * 448 + 512]) AS digest FROM o""")
+def chunk(spark, sf):
+    return chunks.chunk(V.corpus(spark, sf)).select("parent_id", "ordinal", "start", "end", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query()
+def canonical_hash(spark, sf):
+    """Digests that equal those of ASCII-escaped canonical JSON."""
+    return V.corpus(spark, sf).select("doc_id", X.row_hash(["doc_id", "title", "text"])(F.struct("doc_id", "title", "text")).alias("digest"))
+
+
+# ---- BM25
+
+def _bm25_sql(title: float, where: str = "split = 'test'") -> str:
+    docs = f"SELECT doc_id, unnest({_WORDS.format('text')}) AS term, 1.0 AS w FROM c"
+    lens = f"len({_WORDS.format('text')})::DOUBLE"
+    if title:
+        docs += f" UNION ALL SELECT doc_id, unnest({_WORDS.format('title')}), {title} FROM c WHERE title IS NOT NULL"
+        lens += f" + {title} * coalesce(len({_WORDS.format('title')}), 0)"
+    return f"""{V.SQL_CORPUS}, {V.SQL_QUESTIONS},
+    asked AS (SELECT DISTINCT query_id, unnest({_WORDS.format('question')}) AS term FROM q WHERE {where} AND question IS NOT NULL),
+    w AS ({docs}), p AS (SELECT doc_id, term, sum(w)::DOUBLE AS tf FROM w GROUP BY ALL),
+    l AS (SELECT doc_id, {lens} AS len FROM c), m AS (SELECT count(*)::DOUBLE AS n, avg(len) AS mean FROM l),
+    d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    parts AS (SELECT query_id, doc_id, term, tf, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf,
+        ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean)) AS part
+        FROM asked JOIN p USING (term) JOIN d USING (term) JOIN l USING (doc_id), m),
+    scored AS (SELECT query_id, doc_id, sum(part) AS score FROM parts GROUP BY ALL HAVING sum(part) > 0),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 5)"""
+
+
+@query(f"WITH {_bm25_sql(1.0)} SELECT term, count(*) AS df, sum(tf) AS tf FROM p GROUP BY term")
+def bm25_index(spark, sf):
+    return bm25.postings(V.corpus(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"WITH {_bm25_sql(0)} SELECT query_id, count(DISTINCT doc_id) AS candidates FROM asked JOIN p USING (term) GROUP BY query_id")
+def bm25_candidates(spark, sf):
+    return bm25.candidates(_test_questions(spark, sf), V.corpus(spark, sf)).groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+@query(f"WITH {_bm25_sql(0)} SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM top")
+def bm25_search(spark, sf):
+    return _r(bm25.search(_test_questions(spark, sf), V.corpus(spark, sf), 5, title_weight=0.0))
+
+
+@query(f"WITH {_bm25_sql(1.0)} SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM top")
+def bm25_title_weight(spark, sf):
+    return _r(bm25.search(_test_questions(spark, sf), V.corpus(spark, sf), 5))
+
+
+@query(f"""WITH {_bm25_sql(1.0)}, one AS (SELECT min(doc_id) AS doc_id FROM c)
+    SELECT a.query_id, a.term, coalesce(p.tf, 0) AS tf, round(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)), 6) AS idf,
+    round(CASE WHEN p.tf IS NULL THEN 0 ELSE ln(1 + (n - df + 0.5) / (df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * len / mean)) END, 6) AS part
+    FROM asked a CROSS JOIN m LEFT JOIN d USING (term) LEFT JOIN (SELECT * FROM p JOIN one USING (doc_id)) p ON p.term = a.term LEFT JOIN l ON l.doc_id = p.doc_id""")
+def bm25_explain(spark, sf):
+    docs = V.corpus(spark, sf)
+    return _r(bm25.explain(_test_questions(spark, sf), docs, docs.agg(F.min("doc_id")).first()[0]))
+
+
+# ---- dense retrieval
+
+_UNIT = "list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))"
+_VECTORS = """raw AS (SELECT DISTINCT ON (vec_id) vec_id, embedding::DOUBLE[] AS e FROM dense_index WHERE vec_id IS NOT NULL),
+    ok AS (SELECT vec_id, e FROM raw WHERE e IS NOT NULL AND len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    sc AS (SELECT vec_id, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS v FROM ok),
+    u AS (SELECT vec_id, """ + _UNIT + " AS v FROM sc)"
+_DENSE = f"""{_VECTORS}, sims AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_dot_product(a.v, b.v) AS score FROM u a, u b WHERE a.vec_id % 50 = 0),
+    dtop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sims QUALIFY rank <= 5)"""
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = V.read(spark, sf, "dense_index").filter("vec_id is not null").select(F.col("vec_id").alias("doc_id"), "chunk_id", "topic", "embedding")
+    return rows.dropDuplicates(["doc_id"])
+
+
+def _vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return _vectors(spark, sf).filter(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id")
+
+
+@query(f"WITH {_DENSE} SELECT query_id, doc_id, rank::INT AS rank, round(score, 5) AS score FROM dtop")
+def dense_search(spark, sf):
+    return _r(dense.search(_vector_queries(spark, sf), _vectors(spark, sf), 5), 5)
+
+
+@query(f"WITH {_DENSE} SELECT query_id, count(*) AS hits, round(avg(score), 5) AS mean_score FROM dtop GROUP BY query_id")
+def dense_search_batch(spark, sf):
+    listed = rank.retrieve_batch(_vector_queries(spark, sf), dense.search(_vector_queries(spark, sf), _vectors(spark, sf), 5))
+    return listed.filter("size(ranked) > 0").select("query_id", F.size("ranked").cast("long").alias("hits"), F.round(F.aggregate("ranked", F.lit(0.0), lambda s, x: s + x["score"]) / F.size("ranked"), 5).alias("mean_score"))
+
+
+@query("""WITH raw AS (SELECT DISTINCT ON (vec_id) vec_id, embedding::DOUBLE[] AS e FROM dense_index WHERE vec_id IS NOT NULL)
+    SELECT vec_id AS id, rule FROM (SELECT vec_id, CASE WHEN e IS NULL THEN 'missing' WHEN len(e) <> 64 THEN 'dimension'
+        WHEN len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'not finite'
+        WHEN abs(sqrt(list_sum(list_transform(e, lambda y: y * y))) - 1) > 0.00011 THEN 'not unit length' END AS rule FROM raw) WHERE rule IS NOT NULL""")
+def valid_embeddings(spark, sf):
+    return dense.valid_embeddings(_vectors(spark, sf), 64, "doc_id")
+
+
+@query(f"WITH {_VECTORS} SELECT vec_id, round(list_sum(v), 5) AS total FROM u")
+def scaled_unit(spark, sf):
+    usable = _vectors(spark, sf).filter(dense.is_usable(F.col("embedding"), 64))
+    return usable.select(F.col("doc_id").alias("vec_id"), F.round(F.aggregate(X.scaled_unit(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query()
+def mmr(spark, sf):
+    pool = dense.search(_vector_queries(spark, sf), _vectors(spark, sf), 20)
+    return rank.mmr(pool.join(_vectors(spark, sf).select("doc_id", "embedding"), "doc_id"), 5, 0.5)
+
+
+@query()
+def dense_encode(spark, sf):
+    return dense.encode_corpus(V.corpus(spark, sf), dense.HashedEncoder()).select("doc_id", F.size("embedding").alias("dimension"))
+
+
+# ---- fusion and chunks
+
+def _ranked(prefix: str, title: float) -> str:
+    """The BM25 query as one table expression named ``prefix``."""
+    return f"{prefix} AS (WITH {_bm25_sql(title)} SELECT query_id, doc_id, rank FROM top)"
+
+
+def _rrf_sql(w0: float, w1: float) -> str:
+    return f"""WITH {_ranked('r0', 0)}, {_ranked('r1', 1.0)},
+    f AS (SELECT query_id, doc_id, sum(part) AS score FROM (SELECT query_id, doc_id, {w0} / (60.0 + rank) AS part FROM r0 UNION ALL SELECT query_id, doc_id, {w1} / (60.0 + rank) FROM r1) GROUP BY ALL)
+    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, round(score, 6) AS score FROM f
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 5"""
+
+
+def _components(spark, sf):
+    asked, docs = _test_questions(spark, sf), V.corpus(spark, sf)
+    return [bm25.search(asked, docs, 5, title_weight=0.0), bm25.search(asked, docs, 5, title_weight=1.0)]
+
+
+@query(_rrf_sql(1.0, 1.0))
+def rrf(spark, sf):
+    return _r(rank.reciprocal_rank_fusion(_components(spark, sf)))
+
+
+@query(_rrf_sql(1.0, 2.0))
+def rrf_weighted(spark, sf):
+    return _r(rank.reciprocal_rank_fusion(_components(spark, sf), [1.0, 2.0]))
+
+
+@query(_rrf_sql(0.5, 1.5))
+def fusion_search(spark, sf):
+    return _r(rank.reciprocal_rank_fusion(_components(spark, sf), [0.5, 1.5], 60, 5))
+
+
+def _chunk_hits_sql(agg: str) -> str:
+    return f"""WITH {_DENSE.replace('rank <= 5', 'rank <= 20')},
+    ch AS (SELECT DISTINCT chunk_id, parent_id, start, "end" FROM document_chunks),
+    vc AS (SELECT DISTINCT vec_id, chunk_id FROM dense_index),
+    hit AS (SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM dtop JOIN vc ON vec_id = doc_id),
+    j AS (SELECT * FROM hit JOIN ch USING (chunk_id)),
+    g AS (SELECT query_id, parent_id AS doc_id, {agg}(score) AS score, arg_min(chunk_id, (-score, chunk_id)) AS best_chunk, count(*) AS chunks FROM j GROUP BY ALL)
+    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, round(score, 5) AS score, best_chunk, chunks::INT AS chunks FROM g
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 5"""
+
+
+def _chunk_aggregate(spark, sf, policy):
+    hits = dense.search(_vector_queries(spark, sf), _vectors(spark, sf), 20)
+    named = V.read(spark, sf, "dense_index").select(F.col("vec_id").alias("doc_id"), "chunk_id").distinct()
+    stored = V.read(spark, sf, "document_chunks").select("chunk_id", "parent_id", "start", "end").distinct()
+    rolled = chunks.aggregate_chunks(hits.join(named, "doc_id").select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank"), stored, policy)
+    return _r(rolled.select("query_id", "doc_id", "rank", "score", "best_chunk", F.size("chunk_ids").alias("chunks")), 5)
+
+
+@query(_chunk_hits_sql("max"))
+def chunk_aggregate_max(spark, sf):
+    return _chunk_aggregate(spark, sf, "max")
+
+
+@query(_chunk_hits_sql("sum"))
+def chunk_aggregate_sum(spark, sf):
+    return _chunk_aggregate(spark, sf, "sum")
+
+
+@query(f"WITH {V.SQL_ROWS} SELECT attempt_id, confidence FROM e ORDER BY confidence DESC, attempt_id LIMIT 100")
+def stable_top_k(spark, sf):
+    """A top-k report: the limit is the feature."""
+    return rank.stable_top_k(V.evaluation_rows(spark, sf).select("attempt_id", "confidence"), 100, "attempt_id", "confidence")
+
+
+# ---- metrics of retrieval: BM25 rankings, and the logged rankings of the runner
+
+_LISTED = f"{_bm25_sql(1.0)}, ls AS (SELECT q.query_id, relevant_ids, coalesce(r, []) AS ranked_ids FROM q LEFT JOIN (SELECT query_id, list(doc_id ORDER BY rank) AS r FROM top GROUP BY 1) USING (query_id) WHERE split = 'test')"
+_RECALL = "CASE WHEN len(relevant_ids) > 0 THEN len(list_intersect(ranked_ids[1:{k}], relevant_ids)) / len(relevant_ids)::DOUBLE END"
+_PRECISION = "CASE WHEN len(relevant_ids) > 0 THEN len(list_intersect(ranked_ids[1:{k}], relevant_ids)) / {k}::DOUBLE END"
+_RR = "CASE WHEN len(relevant_ids) > 0 THEN coalesce(list_max(list_transform(list_filter(range(1, len(ranked_ids) + 1), lambda i: i <= 5 AND list_contains(relevant_ids, ranked_ids[i])), lambda i: 1.0 / i)), 0.0) END::DOUBLE"
+_AP = "CASE WHEN len(relevant_ids) > 0 THEN coalesce(list_sum(list_transform(list_filter(range(1, len(ranked_ids) + 1), lambda i: i <= 5 AND list_contains(relevant_ids, ranked_ids[i])), lambda i: len(list_intersect(ranked_ids[1:i], relevant_ids)) / i::DOUBLE)), 0.0) / len(relevant_ids) END::DOUBLE"
+
+
+def _listed(spark, sf):
+    asked, docs = _test_questions(spark, sf), V.corpus(spark, sf)
+    lists = rank.retrieve_batch(asked, bm25.search(asked, docs, 5))
+    return lists.select("query_id", F.transform("ranked", lambda x: x["doc_id"]).alias("ranked_ids")).join(asked.select("query_id", "relevant_ids"), "query_id")
+
+
+@query(f"WITH {_LISTED} SELECT {', '.join(f'round(avg({_RECALL.format(k=k)}), 6) AS recall_at_{k}, round(avg({_PRECISION.format(k=k)}), 6) AS precision_at_{k}' for k in (1, 3, 5))}, round(avg({_RR}), 6) AS mrr_at_5 FROM ls")
+def recall_at_k(spark, sf):
+    return _r(_listed(spark, sf).agg(*metrics.retrieval_aggregates()))
+
+
+@query(f"WITH {V.SQL_ROWS} SELECT experiment, round(avg({_PRECISION.format(k=1)}), 6) AS precision_at_1, round(avg({_PRECISION.format(k=3)}), 6) AS precision_at_3 FROM e GROUP BY experiment")
+def precision_at_k(spark, sf):
+    return _r(V.evaluation_rows(spark, sf).groupBy("experiment").agg(*[F.avg(metrics.precision(F.col("ranked_ids"), F.col("relevant_ids"), k)).alias(f"precision_at_{k}") for k in (1, 3)]))
+
+
+@query(f"WITH {V.SQL_ROWS} SELECT experiment, run_day, round(avg({_RR}), 6) AS mrr_at_5 FROM e GROUP BY ALL")
+def mrr_at_max(spark, sf):
+    return _r(V.evaluation_rows(spark, sf).groupBy("experiment", "run_day").agg(F.avg(metrics.reciprocal_rank(F.col("ranked_ids"), F.col("relevant_ids"), 5)).alias("mrr_at_5")))
+
+
+@query(f"WITH {V.SQL_ROWS} SELECT attempt_id, round({_RR}, 6) AS rr FROM e")
+def reciprocal_rank(spark, sf):
+    return _r(V.evaluation_rows(spark, sf).select("attempt_id", metrics.reciprocal_rank(F.col("ranked_ids"), F.col("relevant_ids"), 5).alias("rr")))
+
+
+@query(f"WITH {V.SQL_ROWS}, x AS (SELECT experiment, {_RR} AS rr FROM e) SELECT experiment, round(avg(CASE WHEN rr > 0 THEN 1.0 WHEN rr IS NOT NULL THEN 0.0 END), 6) AS hit_rate, count(rr) AS samples FROM x GROUP BY experiment")
+def hit_rate(spark, sf):
+    rows = V.evaluation_rows(spark, sf).select("experiment", metrics.reciprocal_rank(F.col("ranked_ids"), F.col("relevant_ids"), 5).alias("rr"))
+    return _r(rows.groupBy("experiment").agg(*metrics.hit_rate()))
+
+
+@query(f"WITH {V.SQL_ROWS} SELECT experiment, round(avg({_AP}), 6) AS map FROM e GROUP BY experiment")
+def map(spark, sf):  # noqa: A001
+    rows = V.evaluation_rows(spark, sf)
+    return _r(rows.groupBy("experiment").agg(F.avg(metrics.average_precision(F.col("ranked_ids"), F.col("relevant_ids"), 5)).alias("map")))
+
+
+@query(f"""WITH {_bm25_sql(1.0)}, g AS (SELECT query_id, d AS doc_id, (1 + i % 3)::DOUBLE AS grade FROM (SELECT query_id, unnest(relevant_ids) AS d, unnest(range(0, len(relevant_ids))) AS i FROM q WHERE split = 'test')),
+    ideal AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS r FROM g QUALIFY r <= 5) GROUP BY 1),
+    got AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM top JOIN g USING (query_id, doc_id) GROUP BY 1)
+    SELECT query_id, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal END, 6) AS ndcg FROM ideal LEFT JOIN got USING (query_id)""")
+def ndcg_at_k(spark, sf):
+    asked = _test_questions(spark, sf)
+    grades = asked.select("query_id", F.posexplode("relevant_ids").alias("i", "doc_id")).select("query_id", "doc_id", (1 + F.col("i") % 3).cast("double").alias("grade"))
+    return _r(metrics.ndcg(bm25.search(asked, V.corpus(spark, sf), 5), grades, 5))
+
+
+# ---- answers and failures
+
+def _rows_with_threshold(spark, sf):
+    limits = V.read(spark, sf, "experiments").select("experiment", "abstain_at")
+    return V.evaluation_rows(spark, sf).join(F.broadcast(limits), "experiment")  # 30 rows, a fixed table
+
+
+def _scored(spark, sf):
+    return scoring.scored(_rows_with_threshold(spark, sf), F.col("abstain_at"))
+
+
+@query(f"WITH {_SCORED} SELECT experiment, round(avg(answer_em), 6) AS answer_em, round(avg(CASE WHEN len(answers) > 0 THEN answer_em END), 6) AS answerable_em, round(avg(CASE WHEN ok THEN answer_em END), 6) AS selective_em FROM s GROUP BY experiment")
+def answer_em(spark, sf):
+    rows = _scored(spark, sf).groupBy("experiment").agg(*scoring.metric_aggregates())
+    return _r(rows.select("experiment", "answer_em", "answerable_em", "selective_em"))
+
+
+@query(f"WITH {_SCORED} SELECT attempt_id, round({_f1('answer')}, 6) AS answer_f1 FROM s")
+def answer_f1(spark, sf):
+    return _r(_scored(spark, sf).select("attempt_id", "answer_f1"))
+
+
+@query(f"WITH {_SCORED} SELECT experiment, {', '.join(f'count(*) FILTER (WHERE failure = {chr(39)}{f}{chr(39)}) AS {f}' for f in scoring.FAILURES)} FROM s GROUP BY experiment")
+def failure_counts(spark, sf):
+    return _scored(spark, sf).groupBy("experiment").agg(*scoring.failure_counts())
+
+
+_METRICS = f"""count(*) AS query_count, count(*) FILTER (WHERE len(answers) > 0) AS answerable_count, count(*) FILTER (WHERE len(answers) = 0) AS unanswerable_count,
+    count(*) FILTER (WHERE len(relevant_ids) > 0) AS retrieval_query_count, count(*) FILTER (WHERE ok) AS accepted_answer_count,
+    round(avg(answer_em), 6) AS answer_em, round(avg(f1), 6) AS answer_f1, round(avg(ok::INT), 6) AS coverage,
+    round(avg(CASE WHEN len(answers) > 0 THEN answer_em END), 6) AS answerable_em, round(avg(CASE WHEN len(answers) > 0 THEN f1 END), 6) AS answerable_f1,
+    round(avg(CASE WHEN len(answers) = 0 THEN (NOT ok)::INT END), 6) AS unanswerable_rejection_rate, round(avg(CASE WHEN ok THEN answer_em END), 6) AS selective_em,
+    {', '.join(f'round(avg({_RECALL.format(k=k)}), 6) AS recall_at_{k}, round(avg({_PRECISION.format(k=k)}), 6) AS precision_at_{k}' for k in (1, 3, 5))}, round(avg({_RR}), 6) AS mrr_at_5,
+    {', '.join(f'count(*) FILTER (WHERE failure = {chr(39)}{f}{chr(39)}) AS {f}' for f in scoring.FAILURES)}"""
+_F = f"{_SCORED}, sf AS (SELECT *, {_f1('answer')} AS f1 FROM s)"
+_LATENCY = ", ".join(f"round(quantile_cont({c}_ms, {p}), 6) AS {c}_p{round(p * 100)}_ms" for c in ("retrieval", "reader", "total") for p in (0.5, 0.95))
+
+
+@query(f"WITH {_F} SELECT experiment, {_METRICS}, {_LATENCY} FROM sf GROUP BY experiment")
+def score_predictions(spark, sf):
+    return _r(scoring.score_predictions(_rows_with_threshold(spark, sf), F.col("abstain_at"), ("experiment",)))
+
+
+@query(f"WITH {V.SQL_ROWS} SELECT experiment, run_day, {_LATENCY} FROM e GROUP BY ALL")
+def latency_percentiles(spark, sf):
+    return _r(V.evaluation_rows(spark, sf).groupBy("experiment", "run_day").agg(*scoring.latency_percentiles()))
+
+
+@query(f"WITH {_F}, lab AS (SELECT sf.*, unnest(list_distinct([lower(trim(q.source)), 'split ' || q.split])) AS label FROM sf JOIN q USING (query_id)) SELECT label, {_METRICS} FROM lab WHERE label IS NOT NULL GROUP BY label")
+def slice_metrics(spark, sf):
+    labels = V.questions(spark, sf).select("query_id", F.array_compact(F.array(F.lower(F.trim("source")), F.concat(F.lit("split "), "split"))).alias("labels"))
+    return _r(scoring.slice_metrics(_rows_with_threshold(spark, sf), labels, F.col("abstain_at")))
+
+
+@query(f"WITH {_SCORED} SELECT experiment, round(avg(CASE WHEN ok THEN coalesce(list_contains(relevant_ids, ranked_ids[1]), false)::INT END), 6) AS citation_precision, round(avg(CASE WHEN ok AND coalesce(list_contains(relevant_ids, ranked_ids[1]), false) THEN answer_em ELSE 0 END), 6) AS supported_em FROM s GROUP BY experiment")
+def citation_metrics(spark, sf):
+    cited = _scored(spark, sf).withColumn("document_id", F.get("ranked_ids", F.lit(0)))
+    return _r(scoring.citation_metrics(("experiment",), cited))
+
+
+@query(f"WITH {V.SQL_ROWS} SELECT experiment, round(sum(confidence * total_ms) / sum(total_ms), 6) AS weighted_mean FROM e GROUP BY experiment")
+def weighted_mean(spark, sf):
+    return _r(scoring.weighted_mean(V.evaluation_rows(spark, sf), "confidence", "total_ms", ("experiment",)))
+
+
+@query(f"WITH {V.SQL_ROWS} SELECT experiment || '|' || query_id AS query_id, count(*) AS repeats, round(median(retrieval_ms), 6) AS retrieval_ms, round(median(reader_ms), 6) AS reader_ms, round(median(total_ms), 6) AS total_ms FROM e GROUP BY 1")
+def collect_predictions(spark, sf):
+    rows = V.evaluation_rows(spark, sf).withColumn("query_id", F.concat_ws("|", "experiment", "query_id"))
+    return _r(scoring.collect_predictions(rows).drop("stable"))
+
+
+# ---- calibration, by experiment, on development rows
+
+_DEV = f"{V.SQL_ROWS}, dev AS (SELECT *, {_NAMED} AS named, {_em('raw_answer')} AS em, len(answers) > 0 AS gold FROM e WHERE split = 'dev')"
+_CURVE = f"""{_DEV}, cand AS (SELECT DISTINCT experiment, confidence AS threshold FROM dev UNION SELECT experiment, t FROM (SELECT DISTINCT experiment FROM dev), (VALUES (0.0), (1.0000001)) v(t)),
+    curve AS (SELECT c.experiment, threshold, count(*) FILTER (WHERE gold AND named AND confidence >= threshold) AS tp, count(*) FILTER (WHERE NOT gold AND named AND confidence >= threshold) AS fp,
+        count(*) FILTER (WHERE named AND confidence >= threshold AND em < 1) AS wrong, count(*) FILTER (WHERE gold) AS golds, count(*) AS total
+        FROM cand c JOIN dev USING (experiment) GROUP BY ALL),
+    diag AS (SELECT *, total - golds - fp AS tn, golds - tp AS fn, tp + fp AS accepted,
+        CASE WHEN golds > 0 AND total > golds THEN (tp / golds::DOUBLE + (total - golds - fp) / (total - golds)::DOUBLE) / 2 END AS balanced_accuracy FROM curve)"""
+
+
+def _dev(spark, sf):
+    return V.evaluation_rows(spark, sf).filter("split = 'dev'")
+
+
+@query(f"WITH {_CURVE} SELECT experiment, threshold, round(balanced_accuracy, 6) AS balanced_accuracy FROM diag")
+def threshold_curve(spark, sf):
+    return calibration.threshold_diagnostics(_dev(spark, sf), ("experiment",)).select("experiment", "threshold", F.round("balanced_accuracy", 6).alias("balanced_accuracy"))
+
+
+@query(f"WITH {_CURVE} SELECT experiment, max_by(threshold, (balanced_accuracy, threshold)) AS threshold, round(max(balanced_accuracy), 6) AS balanced_accuracy FROM diag WHERE balanced_accuracy IS NOT NULL GROUP BY experiment")
+def calibrate_threshold(spark, sf):
+    return calibration.calibrate_threshold(_dev(spark, sf), ("experiment",)).withColumn("balanced_accuracy", F.round("balanced_accuracy", 6))
+
+
+@query(f"WITH {_CURVE} SELECT experiment, threshold, tp, fp, tn, fn, accepted, wrong, total FROM diag")
+def threshold_diagnostics(spark, sf):
+    return calibration.threshold_diagnostics(_dev(spark, sf), ("experiment",)).select("experiment", "threshold", "tp", "fp", "tn", "fn", "accepted", "wrong", "total")
+
+
+@query(f"""WITH {_CURVE}, r AS (SELECT experiment, threshold, CASE WHEN accepted > 0 THEN wrong / accepted::DOUBLE END AS risk, accepted / total::DOUBLE AS coverage FROM diag)
+    SELECT experiment, max_by(threshold, (coverage, threshold)) AS threshold, round(max_by(coverage, (coverage, threshold)), 6) AS coverage FROM r WHERE risk IS NULL OR risk <= 0.5 GROUP BY experiment""")
+def calibrate_risk(spark, sf):
+    return calibration.calibrate_risk(_dev(spark, sf), 0.5, 0.0, ("experiment",)).select("experiment", "threshold", F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"""WITH {_CURVE}, own AS (SELECT experiment, confidence AS threshold, count(*) AS own FROM dev WHERE named GROUP BY ALL)
+    SELECT experiment, threshold, round(accepted / total::DOUBLE, 6) AS coverage, round(wrong / accepted::DOUBLE, 6) AS risk, round(wrong / accepted::DOUBLE * own / total, 6) AS area FROM diag JOIN own USING (experiment, threshold)""")
+def risk_coverage(spark, sf):
+    return calibration.risk_coverage(_dev(spark, sf), ("experiment",)).select("experiment", "threshold", *[F.round(c, 6).alias(c) for c in ("coverage", "risk", "area")])
+
+
+@query(f"""WITH {V.SQL_ROWS}, x AS (SELECT experiment, least(9, floor(confidence * 10)::INT) AS bin, confidence, {_em('raw_answer')} AS em FROM e),
+    f AS (SELECT experiment, bin, count(*) AS n, avg(confidence) AS c, avg(em) AS a FROM x GROUP BY ALL),
+    b AS (SELECT experiment, unnest(range(0, 10))::INT AS bin FROM (SELECT DISTINCT experiment FROM x))
+    SELECT experiment, bin, coalesce(n, 0) AS count, round(c, 6) AS mean_confidence, round(a, 6) AS accuracy, round(coalesce(abs(c - a) * n / sum(n) OVER (PARTITION BY experiment), 0), 6) AS gap FROM b LEFT JOIN f USING (experiment, bin)""")
+def reliability_bins(spark, sf):
+    return _r(calibration.reliability_bins(V.evaluation_rows(spark, sf), 10, ("experiment",)))
+
+
+_FOLD = "(('0x' || substr(sha256('0|' || query_id), 1, 8))::BIGINT % 3)::INT"
+
+
+@query(f"""WITH {_DEV}, h AS (SELECT *, {_FOLD} AS own FROM dev), tr AS (SELECT h.*, f AS fold FROM h, (VALUES (0), (1), (2)) v(f) WHERE f <> own),
+    cand AS (SELECT DISTINCT experiment, fold, confidence AS threshold FROM tr UNION SELECT experiment, fold, t FROM (SELECT DISTINCT experiment, fold FROM tr), (VALUES (0.0), (1.0000001)) v(t)),
+    curve AS (SELECT experiment, fold, threshold, count(*) FILTER (WHERE gold AND named AND confidence >= threshold) AS tp, count(*) FILTER (WHERE NOT gold AND named AND confidence >= threshold) AS fp, count(*) FILTER (WHERE gold) AS golds, count(*) AS total FROM cand JOIN tr USING (experiment, fold) GROUP BY ALL),
+    ba AS (SELECT *, (tp / golds::DOUBLE + (total - golds - fp) / (total - golds)::DOUBLE) / 2 AS ba FROM curve WHERE golds > 0 AND total > golds),
+    fit AS (SELECT experiment, fold, max_by(threshold, (ba, threshold)) AS threshold FROM ba GROUP BY ALL),
+    held AS (SELECT h.*, fit.threshold, fit.fold, named AND confidence >= fit.threshold AS ok FROM h JOIN fit ON h.experiment = fit.experiment AND own = fold)
+    SELECT experiment, fold, max(threshold) AS threshold, count(*) FILTER (WHERE ok) AS accepted, round(avg(ok::INT), 6) AS coverage, round(avg(CASE WHEN ok THEN em END), 6) AS selective_em FROM held GROUP BY ALL""")
+def cross_validate(spark, sf):
+    fitted = calibration.cross_validate(_dev(spark, sf), compare.hash_fold(F.col("query_id"), 3), 3, ("experiment",))
+    return fitted.select("experiment", "fold", "threshold", "accepted", F.round("coverage", 6).alias("coverage"), F.round("selective_em", 6).alias("selective_em"))
+
+
+# ---- comparison, splits, resampling
+
+@query(f"""WITH {_SCORED}, l AS (SELECT query_id, avg(answer_em) AS v FROM s WHERE experiment = 'lexical-base' GROUP BY 1), r AS (SELECT query_id, avg(answer_em) AS v FROM s WHERE experiment = 'dense-base' GROUP BY 1),
+    d AS (SELECT l.v - r.v AS diff FROM l FULL JOIN r USING (query_id))
+    SELECT round(avg(diff), 6) AS estimate, count(*) FILTER (WHERE diff > 0) AS wins, count(*) FILTER (WHERE diff = 0) AS ties, count(*) FILTER (WHERE diff < 0) AS losses, count(*) FILTER (WHERE diff IS NULL) AS unpaired FROM d""")
+def paired_comparison(spark, sf):
+    rows = _scored(spark, sf).filter("experiment in ('lexical-base', 'dense-base')").groupBy("experiment", "query_id").agg(F.avg("answer_em").alias("answer_em"))
+    return _r(compare.paired_comparison(rows.filter("experiment = 'lexical-base'"), rows.filter("experiment = 'dense-base'")))
+
+
+@query()
+def bootstrap_mean(spark, sf):
+    return _r(compare.bootstrap_mean(_scored(spark, sf), "answer_em", ("experiment",)))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT coalesce(lower(trim(source)), 'none') AS "group" FROM queries), o AS (SELECT "group", row_number() OVER (ORDER BY sha256('0|' || "group"), "group") AS r, count(*) OVER () AS n FROM g)
+    SELECT "group", CASE WHEN r <= greatest(1, least(n - 1, round_even(n * 0.25, 0))) THEN 'test' ELSE 'train' END AS side FROM o""")
+def grouped_split(spark, sf):
+    rows = V.read(spark, sf, "queries").select(F.coalesce(F.lower(F.trim("source")), F.lit("none")).alias("source"))
+    return compare.grouped_split(rows, "source")
+
+
+# ---- audits
+
+@query(r"SELECT DISTINCT doc_id AS key FROM corpus WHERE NOT regexp_full_match(doc_id, '[A-Za-z0-9][A-Za-z0-9._:-]{0,127}')")
+def valid_identifier(spark, sf):
+    return audit.bad_identifiers(V.read(spark, sf, "corpus").select("doc_id").distinct(), "doc_id").select("key")
+
+
+@query(f"WITH {V.SQL_CORPUS} SELECT doc_id AS key, length(text)::VARCHAR AS detail FROM c WHERE text IS NULL OR NOT regexp_matches(text, '\\S') OR length(text) > 10000")
+def valid_text(spark, sf):
+    return audit.bad_texts(V.corpus(spark, sf), "doc_id", "text").select("key", "detail")
+
+
+@query("SELECT doc_id AS key, count(*)::VARCHAR AS detail FROM corpus GROUP BY doc_id HAVING count(*) > 1")
+def dup_doc_id(spark, sf):
+    return audit.duplicates(V.read(spark, sf, "corpus"), "doc_id").select("key", "detail")
+
+
+@query("SELECT query_id AS key, count(*)::VARCHAR AS detail FROM queries GROUP BY query_id HAVING count(*) > 1")
+def dup_query_id(spark, sf):
+    return audit.duplicates(V.read(spark, sf, "queries"), "query_id").select("key", "detail")
+
+
+_KEY = r"trim(regexp_replace(lower(question), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"
+
+
+@query(f"WITH k AS (SELECT DISTINCT split, query_id, {_KEY} AS key FROM queries WHERE question IS NOT NULL) SELECT split, key, count(DISTINCT query_id) AS ids FROM k WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT query_id) > 1")
+def dup_question(spark, sf):
+    return audit.duplicate_questions(V.read(spark, sf, "queries"), exact=False)
+
+
+@query(f"WITH {V.SQL_CORPUS}, {V.SQL_QUESTIONS} SELECT DISTINCT query_id, d AS doc_id FROM (SELECT query_id, unnest(relevant_ids) AS d FROM q) WHERE d NOT IN (SELECT doc_id FROM c)")
+def unknown_gold_doc(spark, sf):
+    return audit.unknown_gold(V.questions(spark, sf), V.corpus(spark, sf))
+
+
+@query(f"WITH {V.SQL_QUESTIONS} SELECT query_id, len(answers)::INT AS answers, len(relevant_ids)::INT AS relevant FROM q WHERE (len(answers) = 0) <> (len(relevant_ids) = 0)")
+def answerability_consistent(spark, sf):
+    return audit.inconsistent_answerability(V.questions(spark, sf))
+
+
+@query(f"""WITH {V.SQL_CORPUS}, {V.SQL_QUESTIONS}, a AS (SELECT query_id, unnest(answers) AS answer, relevant_ids FROM q), r AS (SELECT query_id, answer, unnest(CASE WHEN len(relevant_ids) = 0 THEN [NULL] ELSE relevant_ids END) AS doc_id FROM a)
+    SELECT query_id, answer FROM r LEFT JOIN c USING (doc_id) GROUP BY ALL HAVING NOT coalesce(bool_or(contains(lower(text), lower(answer))), false)""")
+def gold_answer_present(spark, sf):
+    return audit.missing_gold_answers(V.questions(spark, sf), V.corpus(spark, sf))
+
+
+@query(f"""WITH k AS (SELECT split, query_id, {_KEY} AS key FROM queries) SELECT 'query_id' AS kind, query_id AS key FROM (SELECT query_id FROM k WHERE split = 'dev' INTERSECT SELECT query_id FROM k WHERE split = 'test')
+    UNION ALL SELECT 'question', key FROM (SELECT key FROM k WHERE split = 'dev' AND key <> '' INTERSECT SELECT key FROM k WHERE split = 'test' AND key <> '')""")
+def split_overlap(spark, sf):
+    return audit.split_overlap(V.read(spark, sf, "queries"), exact=False)
+
+
+@query(f"WITH {V.SQL_QUESTIONS} SELECT unnest(relevant_ids) AS doc_id FROM q WHERE split = 'dev' INTERSECT SELECT unnest(relevant_ids) FROM q WHERE split = 'test'")
+def gold_doc_overlap(spark, sf):
+    return audit.gold_doc_overlap(V.questions(spark, sf))
+
+
+@query(rf"""WITH {V.SQL_CORPUS}, {V.SQL_QUESTIONS}, k AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))) AS content FROM c), g AS (SELECT DISTINCT split, unnest(relevant_ids) AS doc_id FROM q)
+    SELECT content FROM g JOIN k USING (doc_id) WHERE split = 'dev' INTERSECT SELECT content FROM g JOIN k USING (doc_id) WHERE split = 'test'""")
+def evidence_overlap(spark, sf):
+    return audit.evidence_overlap(V.questions(spark, sf), V.corpus(spark, sf), exact=False)
+
+
+@query()
+def split_policy(spark, sf):
+    return audit.split_policy(V.questions(spark, sf), V.corpus(spark, sf))
+
+
+@query("SELECT query_id, 'missing' AS side FROM (SELECT DISTINCT query_id FROM queries WHERE split = 'test' EXCEPT SELECT DISTINCT query_id FROM runner WHERE experiment = 'lexical-base') UNION ALL SELECT query_id, 'unexpected' FROM (SELECT DISTINCT query_id FROM runner WHERE experiment = 'lexical-base' EXCEPT SELECT DISTINCT query_id FROM queries WHERE split = 'test')")
+def coverage_check(spark, sf):
+    return audit.coverage_check(V.read(spark, sf, "runner").filter("experiment = 'lexical-base'"), V.read(spark, sf, "queries").filter("split = 'test'"))
+
+
+_BAD = "NOT coalesce({0}, false)"
+_TIME = "NOT isnan({0}) AND NOT isinf({0}) AND {0} >= 0"
+
+
+@query(f"""WITH {V.SQL_ATTEMPTS}, n AS (SELECT count(*) FILTER (WHERE {_BAD.format('NOT isnan(confidence) AND confidence BETWEEN 0 AND 1')}) AS a, count(*) FILTER (WHERE {_BAD.format('len(list_distinct(ranked_ids)) = len(ranked_ids)')}) AS b,
+    count(*) FILTER (WHERE {_BAD.format("len(list_filter(ranked_ids, lambda d: d IS NULL OR NOT regexp_matches(d, '\\S'))) = 0")}) AS c, count(*) FILTER (WHERE raw_answer IS NULL) AS d,
+    count(*) FILTER (WHERE {_BAD.format(_TIME.format('retrieval_ms'))}) AS e, count(*) FILTER (WHERE {_BAD.format(_TIME.format('reader_ms'))}) AS f, count(*) FILTER (WHERE {_BAD.format(_TIME.format('total_ms'))}) AS g FROM t)
+    SELECT unnest(['confidence', 'ranked_ids repeated', 'ranked_ids blank', 'answer missing', 'retrieval_ms', 'reader_ms', 'total_ms']) AS rule, unnest([a, b, c, d, e, f, g]) AS rows FROM n""")
+def valid_eval_rows(spark, sf):
+    return audit.invalid_evaluation_rows(V.attempts(spark, sf))
+
+
+@query()
+def valid_ranked(spark, sf):
+    logged = rank.rank_enumerate(V.attempts(spark, sf).select(F.col("attempt_id").alias("query_id"), "ranked_ids")).withColumn("score", 1.0 / F.col("rank"))
+    return rank.valid_ranked(logged, V.corpus(spark, sf))
+
+
+# ---- reading
+
+@query()
+def reader_trace(spark, sf):
+    asked, docs = _test_questions(spark, sf), V.corpus(spark, sf)
+    top = bm25.search(asked, docs, 3).select("query_id", F.col("doc_id").alias("document_id"), "rank")
+    rows = top.join(asked.select("query_id", "question"), "query_id").join(docs.select(F.col("doc_id").alias("document_id"), "text"), "document_id")
+    return _r(reader.top_of_trace(reader.reader_trace(rows, reader.LexicalReader())).drop("text"))
+
+
+def _logged_candidates(spark, sf):
+    """The logged rankings as candidates: confidence falls with the rank by a rule that SQL shares."""
+    each = rank.rank_enumerate(V.evaluation_rows(spark, sf).select(F.col("attempt_id").alias("query_id"), "raw_answer", "confidence", "ranked_ids"))
+    return each.select("query_id", F.col("doc_id").alias("document_id"), "rank", F.col("raw_answer").alias("answer"), F.round(F.col("confidence") * ((F.length("doc_id") + F.col("rank") * 7) % 5), 6).alias("confidence"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+
+
+def _select_sql(order: str) -> str:
+    return f"""WITH {V.SQL_ROWS}, x AS (SELECT attempt_id AS query_id, unnest(ranked_ids) AS document_id, unnest(range(1, len(ranked_ids) + 1)) AS rank, confidence AS c0 FROM e),
+    y AS (SELECT query_id, document_id, rank, round(c0 * ((length(document_id) + rank * 7) % 5), 6) AS confidence FROM x)
+    SELECT query_id, document_id, confidence FROM y QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {order}) = 1"""
+
+
+@query(_select_sql("confidence DESC, document_id"))
+def select_answer_max_score(spark, sf):
+    return reader.select_answer(_logged_candidates(spark, sf)).select("query_id", "document_id", "confidence")
+
+
+@query(_select_sql("rank, confidence DESC"))
+def select_answer_top_ranked(spark, sf):
+    return reader.select_answer(_logged_candidates(spark, sf), strategy="top_ranked").select("query_id", "document_id", "confidence")
+
+
+@query()
+def oracle_reader(spark, sf):
+    return _r(reader.oracle_reader(_test_questions(spark, sf), V.corpus(spark, sf), reader.LexicalReader()))
+
+
+@query()
+def predict(spark, sf):
+    asked, docs = _test_questions(spark, sf), V.corpus(spark, sf)
+    return _r(reader.predict(asked, bm25.search(asked, docs, 5), docs, reader.LexicalReader(), 0.3))
+
+
+@query(f"WITH {V.SQL_QUESTIONS} SELECT a.query_id, b.query_id AS other FROM q a JOIN q b ON a.source = b.source AND a.split = 'dev' AND b.split = 'test' AND lower(a.question) = lower(b.question)")
+def join_pairs(spark, sf):
+    rows = V.questions(spark, sf).select("query_id", "source", "split", F.lower("question").alias("key"))
+    left, right = rows.filter("split = 'dev'"), rows.filter("split = 'test'").withColumnRenamed("query_id", "other")
+    return left.join(right, ["source", "key"]).select("query_id", "other")
