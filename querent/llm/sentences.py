@@ -271,10 +271,10 @@ def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     whole = F.when(F.col("len") <= chunk_chars, F.col("text")).otherwise(F.substring(F.col("text"), (first - skip + 1).cast("int"), (skip + length + MARGIN).cast("int")))
     key = F.struct("doc", "row", "len")
     given = parts.select(key.alias("doc"), F.col("n").cast("int").alias("n"), first.alias("first"), whole.alias("text"), skip.cast("int").alias("skip"), length.cast("int").alias("length"))
-    made = given.mapInArrow(_chunk_functions, f"doc struct<doc:{kind},row:bigint,len:int>, n int, after array<int>, cuts array<bigint>, early array<array<bigint>>, head bigint, tail bigint")
-
-    single = made.filter(F.col("doc.len") <= chunk_chars).select("doc", "cuts", F.col("head").alias("begin"), F.col("tail").alias("finish"))
-    many = made.filter(F.col("doc.len") > chunk_chars)
+    shape = f"doc struct<doc:{kind},row:bigint,len:int>, n int, after array<int>, cuts array<bigint>, early array<array<bigint>>, head bigint, tail bigint"
+    # texts of one chunk need no scan over states; each text passes the transducer once
+    single = given.filter(F.col("doc.len") <= chunk_chars).mapInArrow(_chunk_functions, shape).select("doc", "cuts", F.col("head").alias("begin"), F.col("tail").alias("finish"))
+    many = given.filter(F.col("doc.len") > chunk_chars).mapInArrow(_chunk_functions, shape)
     # the prefix scan: each chunk's function is applied to the state that the functions before it lead to
     so_far = Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     state = F.aggregate(F.collect_list("after").over(so_far), F.lit(BLOCK), lambda s, f: F.when(F.size(f) == 1, f[0]).otherwise(F.get(f, s)))
