@@ -473,9 +473,9 @@ def risk_coverage(spark, sf):
 @query(f"""WITH {V.SQL_ROWS}, x AS (SELECT experiment, least(9, floor(confidence * 10)::INT) AS bin, confidence, {_em('raw_answer')} AS em FROM e),
     f AS (SELECT experiment, bin, count(*) AS n, avg(confidence) AS c, avg(em) AS a FROM x GROUP BY ALL),
     b AS (SELECT experiment, unnest(range(0, 10))::INT AS bin FROM (SELECT DISTINCT experiment FROM x))
-    SELECT experiment, bin, coalesce(n, 0) AS count, round(c, 5) AS mean_confidence, round(a, 5) AS accuracy, round(coalesce(abs(c - a) * n / sum(n) OVER (PARTITION BY experiment), 0), 5) AS gap FROM b LEFT JOIN f USING (experiment, bin)""")
+    SELECT experiment, bin, coalesce(n, 0) AS count, round(c, 8) AS mean_confidence, round(a, 8) AS accuracy, round(coalesce(abs(c - a) * n / sum(n) OVER (PARTITION BY experiment), 0), 8) AS gap FROM b LEFT JOIN f USING (experiment, bin)""")
 def reliability_bins(spark, sf):
-    return _r(calibration.reliability_bins(V.evaluation_rows(spark, sf), 10, ("experiment",)), 5)
+    return _r(calibration.reliability_bins(V.evaluation_rows(spark, sf), 10, ("experiment",)), 8)
 
 
 _FOLD = "(('0x' || substr(sha256('0|' || query_id), 1, 8))::BIGINT % 3)::INT"
