@@ -22,6 +22,19 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int, dtype: str) -> np.nda
     return data.view(dtype).reshape(len(column), width) if data.ctypes.data % np.dtype(dtype).itemsize == 0 else np.frombuffer(data.tobytes(), dtype).reshape(len(column), width)
 
 
+def flat(column: pa.ChunkedArray | pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and how many each value holds."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    size, data, counts = np.dtype(dtype).itemsize, [], []
+    for c in chunks:
+        wide = pa.types.is_large_binary(c.type)
+        offsets = np.frombuffer(c.buffers()[1], np.int64 if wide else np.int32)[c.offset : c.offset + len(c) + 1]
+        data.append(np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+        counts.append(np.diff(offsets) // size)
+    joined = np.concatenate(data) if data else np.zeros(0, np.uint8)
+    return np.frombuffer(joined.tobytes(), dtype), np.concatenate(counts) if counts else np.zeros(0, int)
+
+
 def binary(rows: np.ndarray) -> pa.Array:
     """A matrix as a binary column, one value a row."""
     rows = np.ascontiguousarray(rows)

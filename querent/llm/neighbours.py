@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from querent.llm.arrowkit import binary, gathered, matrix, sliced
+from querent.llm.arrowkit import binary, flat, gathered, matrix, sliced
 from querent.plans.staging import Stage, shuffle_partitions
 
 #: Documented bounds and sizes: vectors on which centroids are fitted, centroids, rows of a block
@@ -170,10 +170,9 @@ def _merge_lists(k: int):
         if t is None:
             return
         ids = np.asarray(t["id"])
-        node = np.repeat(ids, [len(v) // 8 for v in t["nbr"].to_pylist()]) if "old" in t.column_names else np.repeat(ids, k)
-        flat = lambda c, d: np.frombuffer(b"".join(t[c].to_pylist()), d)
-        nbr, home, sim = flat("nbr", np.int64), flat("nhome", np.int32), flat("sim", np.float32)
-        old = np.repeat(np.asarray(t["old"]), [len(v) // 8 for v in t["nbr"].to_pylist()]) if "old" in t.column_names else np.ones(len(node), bool)
+        (nbr, sizes), (home, _), (sim, _) = flat(t["nbr"], "int64"), flat(t["nhome"], "int32"), flat(t["sim"], "float32")
+        node = np.repeat(ids, sizes)
+        old = np.repeat(np.asarray(t["old"]), sizes) if "old" in t.column_names else np.ones(len(node), bool)
         real = nbr >= 0
         node, nbr, home, sim, old = node[real], nbr[real], home[real], sim[real], old[real]
         order = np.lexsort((~old, nbr, node))
@@ -417,6 +416,24 @@ def _decode(rows: list, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), np.float16).reshape(len(rows), dims).astype(np.float32)
 
 
+def _round(stage: Stage, graph: DataFrame, nodes: DataFrame, homes: int, dims: int, degree: int, merged: str) -> DataFrame:
+    """The lists after every node has met the neighbours of its neighbours."""
+    full = graph.select("id", "nbr", "nhome", "sim").join(nodes, "id")
+    near = full.select(F.col("home").alias("at"), "nbr", "nhome").mapInArrow(_remote(degree), "at int, id long").distinct()
+    with_lists = near.join(full, "id")
+    far = with_lists.select("at", "nbr", "nhome").mapInArrow(_remote(degree), "at int, id long").distinct().join(near, ["at", "id"], "left_anti").join(nodes, "id")
+    cols = ["at", "kind", "id", "home", "vec", "nbr", "sim"]
+    nothing = F.lit(None).cast("binary")
+    world = (
+        full.withColumn("at", F.col("home")).withColumn("kind", F.lit(0)).select(cols)
+        .unionByName(with_lists.withColumn("kind", F.lit(1)).select(cols))
+        .unionByName(far.withColumn("kind", F.lit(2)).withColumn("nbr", nothing).withColumn("sim", nothing).select(cols))
+    )
+    met = world.repartitionById(homes, "at").mapInArrow(_meet(dims, degree), f"id long, {_LISTS}, old boolean")
+    known = graph.select("id", "nbr", "nhome", "sim", F.lit(True).alias("old"))
+    return stage.write(known.unionByName(met).repartition(homes, "id").mapInArrow(_merge_lists(degree), merged), "lists")
+
+
 def build_graph(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64, degree: int = DEGREE, orders: int = 4, max_rounds: int = 8, seed: int = 7, block_rows: int = BLOCK_ROWS, home_rows: int = HOME_ROWS) -> NeighbourGraph:
     """Builds the neighbour graph of all usable vectors by NN-descent.
 
@@ -448,27 +465,18 @@ def build_graph(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     for n in range(orders):
         # the files of the first order keep its rows together, so they are read as they were written
         rows = nodes if n == 0 else ordered(nodes, n).select("id", "home", "vec")
-        lists.append(rows.mapInArrow(_block_lists(dims, degree, block_rows), f"id long, {_LISTS}"))
+        lists.append(stage.write(rows.mapInArrow(_block_lists(dims, degree, block_rows), f"id long, {_LISTS}"), "blocks"))
+        del rows
+        stage.release()
     merged = "id long, " + _LISTS + ", changed int"
     graph = stage.write(reduce(DataFrame.unionByName, lists).repartition(homes, "id").mapInArrow(_merge_lists(degree), merged), "lists")
+    stage.drop(*lists)
+    del lists
     stage.release()
 
     rounds: list[float] = []
     for _ in range(max_rounds):
-        full = graph.select("id", "nbr", "nhome", "sim").join(nodes, "id")
-        near = full.select(F.col("home").alias("at"), "nbr", "nhome").mapInArrow(_remote(degree), "at int, id long").distinct()
-        with_lists = near.join(full, "id")
-        far = with_lists.select("at", "nbr", "nhome").mapInArrow(_remote(degree), "at int, id long").distinct().join(near, ["at", "id"], "left_anti").join(nodes, "id")
-        cols = ["at", "kind", "id", "home", "vec", "nbr", "sim"]
-        nothing = F.lit(None).cast("binary")
-        world = (
-            full.withColumn("at", F.col("home")).withColumn("kind", F.lit(0)).select(cols)
-            .unionByName(with_lists.withColumn("kind", F.lit(1)).select(cols))
-            .unionByName(far.withColumn("kind", F.lit(2)).withColumn("nbr", nothing).withColumn("sim", nothing).select(cols))
-        )
-        met = world.repartitionById(homes, "at").mapInArrow(_meet(dims, degree), f"id long, {_LISTS}, old boolean")
-        known = graph.select("id", "nbr", "nhome", "sim", F.lit(True).alias("old"))
-        after = stage.write(known.unionByName(met).repartition(homes, "id").mapInArrow(_merge_lists(degree), merged), "lists")
+        after = _round(stage, graph, nodes, homes, dims, degree, merged)
         stage.drop(graph)
         graph = after
         share = (graph.agg(F.sum("changed")).first()[0] or 0) / max(1, degree * total)
