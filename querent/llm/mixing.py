@@ -111,6 +111,6 @@ def mix_sources(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_
     uses = F.col("rounds") + F.when(F.col("rank") < F.col("extra"), 1).otherwise(0)
     chosen = ranked.join(table, ["source", "tokens"]).withColumn("uses", uses.cast("long")).filter("uses > 0").select("doc", "source", "tokens", "uses")
     got = sum(r[4] for r in reached.values())
-    rows = [(s, *r[:2], r[2], r[3], r[4], r[4] / got if got else None, r[4] >= r[1] - EXACT // 64 and r[1] > 0) for s, r in reached.items()]
+    rows = [(s, *r[:2], r[2], r[3], r[4], r[4] / got if got else None, r[4] >= 0.99 * r[1]) for s, r in reached.items()]
     shares = spark.createDataFrame(rows, "source string, target_share double, target_tokens bigint, held_tokens bigint, max_repeats bigint, reached_tokens bigint, reached_share double, met boolean")
     return Mixture(chosen, shares)

@@ -451,7 +451,8 @@ def build_graph(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     sample = base.withColumn("_o", F.xxhash64("id", F.lit(seed))).orderBy("_o", "id").limit(SAMPLE_ROWS).select("vec").collect()
     points = _decode(sample, dims) if sample else np.zeros((1, dims), np.float32)
     rng = np.random.default_rng(seed)
-    homes = max(shuffle_partitions(spark), -(-total // home_rows))
+    # as many homes as the cluster has use for, but none smaller than a block, and none larger than home_rows
+    homes = max(1, min(shuffle_partitions(spark), total // block_rows), -(-total // home_rows))
 
     def ordered(nodes: DataFrame, n: int) -> DataFrame:
         cents = _centroids(points, CENTROIDS, seed + n)
