@@ -14,7 +14,7 @@ import unicodedata
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,28 @@ def _distinct_words(s: pd.Series) -> pd.Series:
     return s.map(distinct_words)
 
 
+#: Sizes up to this are told apart, larger ones by steps of this ratio.
+EXACT_SIZES, STEP = 32, 1.05
+
+
+def _size_class(size: Column) -> Column:
+    return F.when(size < EXACT_SIZES, size).otherwise(EXACT_SIZES + F.floor(F.log(size / EXACT_SIZES) / F.log(F.lit(STEP)))).cast("int")
+
+
+def _smallest(size_class: Column) -> Column:
+    """At most the smallest size of a class."""
+    return F.when(size_class < EXACT_SIZES, size_class).otherwise(F.floor(EXACT_SIZES * F.pow(F.lit(STEP), size_class - EXACT_SIZES)) - 1)
+
+
+def _by_size(kept: DataFrame, threshold: float, mine: str, theirs: str) -> DataFrame:
+    """A row for each class of sizes that a partner at this word can have."""
+    size = F.col("size")
+    classes = F.sequence(_size_class(F.ceil(size * threshold - 1e-9)), _size_class(F.floor(size / threshold + 1e-9)))
+    each = kept.withColumn(mine, _size_class(size)).withColumn(theirs, F.explode(classes))
+    need = (size + F.greatest(_smallest(F.col(theirs)), size * threshold)) * (threshold / (1 + threshold)) - 1e-6
+    return each.filter(size - F.col("pos") >= need)
+
+
 def cross_split_pairs(df: DataFrame, id_col: str = "query_id", text_col: str = "question", split_col: str = "split", base: str = "train", others: tuple[str, ...] = ("dev", "test"), threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Near-same records of ``base`` and of the ``others``.
 
@@ -72,13 +94,11 @@ def cross_split_pairs(df: DataFrame, id_col: str = "query_id", text_col: str = "
     window = F.ceil(size * F.lit(threshold) - F.lit(1e-9))
     kept = sequences.select("class", "in_base", "in_others", size.alias("size"), F.posexplode(F.slice("seq", F.lit(1), (size - window + 1).cast("int"))).alias("pos", "x"))
     kept = kept.select("class", "in_base", "in_others", "size", "pos", F.col("x.word").alias("word"))
-    left = kept.filter("in_base").select("word", F.col("class").alias("base_class"), F.col("size").alias("base_size"), F.col("pos").alias("base_pos"))
-    right = kept.filter("in_others").select("word", F.col("class").alias("other_class"), F.col("size").alias("other_size"), F.col("pos").alias("other_pos"))
-    # what can still be shared from a seed on must reach the threshold
-    need = (F.col("base_size") + F.col("other_size")) * (threshold / (1 + threshold)) - 1e-9
-    within = F.least(F.col("base_size") - F.col("base_pos"), F.col("other_size") - F.col("other_pos")) + F.least("base_pos", "other_pos")
-    alike = (F.least("base_size", "other_size") >= F.greatest("base_size", "other_size") * threshold - 1e-9) & (within >= need)
-    seeds = left.join(right, "word").filter(alike & (F.col("base_class") != F.col("other_class"))).select("base_class", "other_class").distinct()
+    # a pair is found at its first shared word, after which enough words must be left on both sides for
+    # the sizes of both; with the sizes in the key, common words meet only where they can matter
+    left = _by_size(kept.filter("in_base"), threshold, "mine", "theirs").select("word", F.col("mine").alias("x"), F.col("theirs").alias("y"), F.col("class").alias("base_class"))
+    right = _by_size(kept.filter("in_others"), threshold, "mine", "theirs").select("word", F.col("theirs").alias("x"), F.col("mine").alias("y"), F.col("class").alias("other_class"))
+    seeds = left.join(right, ["word", "x", "y"]).filter(F.col("base_class") != F.col("other_class")).select("base_class", "other_class").distinct()
     words = sequences.select("class", F.transform("seq", lambda x: x["word"]).alias("words"))
     aligned = seeds.join(words.select(F.col("class").alias("base_class"), F.col("words").alias("a")), "base_class").join(words.select(F.col("class").alias("other_class"), F.col("words").alias("b")), "other_class")
     aligned = aligned.withColumn("shared", F.size(F.array_intersect("a", "b"))).withColumn("words", F.size("a") + F.size("b") - F.col("shared"))
