@@ -30,6 +30,8 @@ SAMPLE_ROWS, CENTROIDS, BLOCK_ROWS, HOME_ROWS, DEGREE = 8192, 128, 4096, 16384,
 #: Rounds end when fewer than this share of list entries change.
 LEAST_CHANGE = 0.01
 _LISTS = "nbr binary, nhome binary, sim binary"
+#: Added to the home of an entry that the list had before the round.
+KNOWN = 1 << 30
 
 
 def _unit_rows(dims: int, id_at: int, vec_at: int):
@@ -172,7 +174,7 @@ def _merge_lists(k: int):
         ids = np.asarray(t["id"])
         (nbr, sizes), (home, _), (sim, _) = flat(t["nbr"], "int64"), flat(t["nhome"], "int32"), flat(t["sim"], "float32")
         node = np.repeat(ids, sizes)
-        old = np.repeat(np.asarray(t["old"]), sizes) if "old" in t.column_names else np.ones(len(node), bool)
+        old, home = home >= KNOWN, home & (KNOWN - 1)
         real = nbr >= 0
         node, nbr, home, sim, old = node[real], nbr[real], home[real], sim[real], old[real]
         order = np.lexsort((~old, nbr, node))
@@ -253,15 +255,16 @@ def _meet(dims: int, k: int):
                 top = _top(sims, k)
                 best = np.take_along_axis(sims, top, 1)
                 mine = np.take_along_axis(cand, top, 1)
-                outs.append([ids[u], ids[mine], homes[mine], best])
+                had = (mine[:, :, None] == ext[u][:, None, :]).any(axis=2)
+                outs.append([ids[u], ids[mine], homes[mine] + KNOWN * had, best])
                 # both sides learn of a meeting: the other node gets it as a one-entry list
                 rows, cols = np.nonzero(sims > worst[cand])
                 w = cand[rows, cols]
                 outs[-1] += [ids[w], ids[u][rows], homes[u][rows], sims[rows, cols]]
             for node, nbr, nhome, sim, w, wn, wh, ws in outs:
-                yield pa.RecordBatch.from_arrays([pa.array(node), *_padded(nbr, nhome, sim, k), pa.array(np.zeros(len(node), bool))], ["id", "nbr", "nhome", "sim", "old"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), *_padded(nbr, nhome, sim, k)], ["id", "nbr", "nhome", "sim"])
                 if len(w):
-                    yield pa.RecordBatch.from_arrays([pa.array(w), binary(wn[:, None].astype(np.int64)), binary(wh[:, None].astype(np.int32)), binary(ws[:, None].astype(np.float32)), pa.array(np.zeros(len(w), bool))], ["id", "nbr", "nhome", "sim", "old"])
+                    yield pa.RecordBatch.from_arrays([pa.array(w), binary(wn[:, None].astype(np.int64)), binary(wh[:, None].astype(np.int32)), binary(ws[:, None].astype(np.float32))], ["id", "nbr", "nhome", "sim"])
 
     return run
 
@@ -429,9 +432,9 @@ def _round(stage: Stage, graph: DataFrame, nodes: DataFrame, homes: int, dims: i
         .unionByName(with_lists.withColumn("kind", F.lit(1)).select(cols))
         .unionByName(far.withColumn("kind", F.lit(2)).withColumn("nbr", nothing).withColumn("sim", nothing).select(cols))
     )
-    met = world.repartitionById(homes, "at").mapInArrow(_meet(dims, degree), f"id long, {_LISTS}, old boolean")
-    known = graph.select("id", "nbr", "nhome", "sim", F.lit(True).alias("old"))
-    return stage.write(known.unionByName(met).repartition(homes, "id").mapInArrow(_merge_lists(degree), merged), "lists")
+    # a node's new list comes from its home and holds the old one, so the old lists needn't move again
+    met = world.repartitionById(homes, "at").mapInArrow(_meet(dims, degree), f"id long, {_LISTS}")
+    return stage.write(met.repartition(homes, "id").mapInArrow(_merge_lists(degree), merged), "lists")
 
 
 def build_graph(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64, degree: int = DEGREE, orders: int = 4, max_rounds: int = 8, seed: int = 7, block_rows: int = BLOCK_ROWS, home_rows: int = HOME_ROWS) -> NeighbourGraph:
