@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +145,7 @@ def build_sketches(df: DataFrame, by: list[str], fields: list[str], ceiling: flo
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, RankSketch] = {}
-        salt = 0
+        salt = TaskContext.get().partitionId() % FAN
         for b in batches:
             if not b.num_rows:
                 continue
@@ -163,8 +164,7 @@ def build_sketches(df: DataFrame, by: list[str], fields: list[str], ceiling: flo
                         if (name, field) not in held:
                             held[name, field] = RankSketch(section)
                         held[name, field].add(part)
-                        salt += 1
-        rows = [(*name, field, salt % FAN, s.to_bytes()) for (name, field), s in held.items()]
+        rows = [(*name, field, salt, s.to_bytes()) for (name, field), s in held.items()]
         cols = list(zip(*rows)) if rows else [[]] * (len(by) + 3)
         kinds = [pa.string()] * len(by) + [pa.string(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], [*codes, "field", "salt", "sketch"])

@@ -159,21 +159,26 @@ def _events(text: str, lo: int, hi: int, at_start: bool) -> list[tuple]:
     return out
 
 
-def _closes_later(events: list[tuple], i: int, closer: str) -> bool:
-    """Whether the quotation that begins at event i ends in its block."""
-    for what, _, _, extra in events[i + 1 :]:
+def _closing(events: list[tuple]) -> list[bool]:
+    """For each event, whether the quotation it begins ends in its block, or may end in the next chunk."""
+    out, ahead = [True] * len(events), dict.fromkeys(_KINDS, True)
+    for i in range(len(events) - 1, -1, -1):
+        what, _, _, extra = events[i]
         if what == "blank":
-            return False
-        if what == "quote" and extra[0] == closer:
-            return True
-    return True  # the end of the chunk: the next one knows
+            ahead = dict.fromkeys(_KINDS, False)
+        elif what == "quote":
+            out[i] = ahead.get(_OPEN.get(extra[0]), False)
+            if extra[0] in ahead:
+                ahead[extra[0]] = True
+    return out
 
 
-def _run(text: str, events: list[tuple], state: int, lo: int, hi: int) -> tuple[int, list[tuple[int, int]]]:
+def _run(text: str, events: list[tuple], state: int, lo: int, hi: int, closing: list[bool] | None = None) -> tuple[int, list[tuple[int, int]]]:
     """Runs the transducer over a chunk; the state after it, and the cuts: (end of a sentence, start of the next)."""
     cuts: list[tuple[int, int]] = []
     begin = lo if state in (BLOCK, BEGIN, AFTER) else -1  # where the text after the last cut begins
     n = len(text)
+    closing = _closing(events) if closing is None else closing
 
     def cut(at: int, start: int) -> None:
         nonlocal begin
@@ -216,7 +221,7 @@ def _run(text: str, events: list[tuple], state: int, lo: int, hi: int) -> tuple[
                     state = BEGIN
         elif what == "quote":
             closer = _OPEN.get(extra[0])
-            if closer and (extra[0] != '"' or extra[3]) and _closes_later(events, i, closer):
+            if closer and (extra[0] != '"' or extra[3]) and closing[i]:
                 state = _FIRST_QUOTE + 2 * _KINDS.index(closer) + (0 if fresh(at) else 1)
         elif what == "end" or what == "thai":
             cut(end if what == "end" else at, end)
@@ -240,7 +245,8 @@ def _chunk_functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             lo, hi = skip, skip + length
             base = first - skip
             events = _events(text, lo, hi, n == 0)
-            runs = [_run(text, events, s, lo, hi) for s in ([BLOCK] if n == 0 else range(STATES))]
+            closing = _closing(events)
+            runs = [_run(text, events, s, lo, hi, closing) for s in ([BLOCK] if n == 0 else range(STATES))]
             common = set(runs[0][1]).intersection(*(c for _, c in runs[1:]))
             early = [[v + base for c in cuts if c not in common for v in c] for _, cuts in runs]
             own = text[lo:hi]

@@ -62,7 +62,6 @@ def distinctive_terms(df: DataFrame, id_col: str = "doc_id", text_cols: tuple[st
     id count once; rows without id take no part; null texts count as empty.
     """
     stage = Stage(df.sparkSession, "terms")
-    # a record's text moves only if its id is repeated: each id's first row is found on ids alone
     given = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(text_cols)])
     kind = df.schema[id_col].dataType.simpleString()
     counted = given.mapInArrow(_count_terms(pattern), f"doc {kind}, term string, tf bigint, len bigint")
