@@ -654,3 +654,54 @@ def join_pairs(spark, sf):
     rows = V.questions(spark, sf).select("query_id", "source", "split", F.lower("question").alias("key"))
     left, right = rows.filter("split = 'dev'"), rows.filter("split = 'test'").withColumnRenamed("query_id", "other")
     return left.join(right, ["source", "key"]).select("query_id", "other")
+
+
+# ---- smaller operators
+
+@query(f"WITH {V.SQL_ROWS} SELECT experiment, count(*) FILTER (WHERE {_NAMED}) AS answered, count(*) FILTER (WHERE {_NAMED} AND confidence >= 0.5) AS accepted FROM e GROUP BY experiment")
+def accept_filter(spark, sf):
+    named = X.has_answer(F.col("raw_answer"))
+    return V.evaluation_rows(spark, sf).groupBy("experiment").agg(F.count_if(named).alias("answered"), F.count_if(scoring.accepted(F.col("raw_answer"), F.col("confidence"), F.lit(0.5))).alias("accepted"))
+
+
+@query(f"WITH {V.SQL_ATTEMPTS} SELECT attempt_id, unnest(ranked_ids) AS doc_id, unnest(range(1, len(ranked_ids) + 1))::INT AS rank FROM t")
+def rank_enumerate(spark, sf):
+    return rank.rank_enumerate(V.attempts(spark, sf).select("attempt_id", "ranked_ids"))
+
+
+@query(f"WITH {_bm25_sql(0)} SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, m")
+def idf(spark, sf):
+    docs = V.corpus(spark, sf)
+    total = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
+    return _r(bm25.term_stats(bm25.postings(docs, 0.0)).select("term", X.idf(total, F.col("df")).alias("idf")))
+
+
+@query(f"""WITH {V.SQL_CORPUS}, ch AS (SELECT DISTINCT chunk_id, lower(trim(parent_id)) AS doc_id, start, "end" FROM document_chunks)
+    SELECT chunk_id, start, "end", coalesce(start >= 0 AND start < "end" AND "end" <= length(text), false) AS valid FROM ch LEFT JOIN c USING (doc_id)""")
+def valid_span(spark, sf):
+    stored = V.read(spark, sf, "document_chunks").select("chunk_id", V.tidy(F.col("parent_id")).alias("doc_id"), "start", "end").distinct()
+    joined = stored.join(V.corpus(spark, sf).select("doc_id", "text"), "doc_id", "left")
+    piece = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return joined.select("chunk_id", "start", "end", X.valid_span(F.col("text"), piece, F.col("start"), F.col("end")).alias("valid"))
+
+
+@query(f"WITH {V.SQL_ATTEMPTS} SELECT attempt_id, CASE WHEN isnan(retrieval_ms) THEN NULL ELSE retrieval_ms END AS retrieval_ms FROM t")
+def json_nulls(spark, sf):
+    return V.attempts(spark, sf).select("attempt_id", X.json_nulls(F.col("retrieval_ms")).alias("retrieval_ms"))
+
+
+@query(f"WITH {_SCORED} SELECT attempt_id, failure FROM s")
+def failure_class(spark, sf):
+    return _scored(spark, sf).select("attempt_id", "failure")
+
+
+@query(f"WITH {V.SQL_QUESTIONS} SELECT list_sort(list_distinct(relevant_ids)) AS relevant_ids, count(*) AS questions FROM q GROUP BY ALL HAVING count(*) > 1")
+def intersect(spark, sf):
+    """Questions that rest on exactly the same documents."""
+    return V.questions(spark, sf).groupBy("relevant_ids").agg(F.count(F.lit(1)).alias("questions")).filter("questions > 1")
+
+
+@query(f"WITH {V.SQL_QUESTIONS}, {V.SQL_ATTEMPTS} SELECT q.query_id, q.split, count(attempt_id) AS attempts FROM q LEFT JOIN t USING (query_id) GROUP BY ALL")
+def join_groups(spark, sf):
+    tried = V.attempts(spark, sf).groupBy("query_id").agg(F.count(F.lit(1)).alias("attempts"))
+    return V.questions(spark, sf).select("query_id", "split").join(tried, "query_id", "left").fillna(0, ["attempts"])
