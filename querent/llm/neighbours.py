@@ -27,6 +27,8 @@ from querent.plans.staging import Stage, shuffle_partitions
 #: Documented bounds and sizes: vectors on which centroids are fitted, centroids, rows of a block
 #: that are compared with each other, rows of a home, entries of a neighbour list.
 SAMPLE_ROWS, CENTROIDS, BLOCK_ROWS, HOME_ROWS, DEGREE = 8192, 128, 4096, 16384, 12
+#: Most ids or hashes that are broadcast; more are joined by a shuffle.
+CHECK_ROWS = 100_000
 #: Rounds end when fewer than this share of list entries change.
 LEAST_CHANGE = 0.01
 _LISTS = "nbr binary, nhome binary, sim binary"
@@ -387,8 +389,6 @@ def greedy_search(graph: NeighbourGraph, queries: DataFrame, k: int = 5, id_col:
 
 #: Unit vectors in float16 give cosines within this of the exact ones.
 HALF_ERROR = 5e-4
-#: Most vectors that the exact check broadcasts; beyond it they are joined by a shuffle.
-CHECK_ROWS = 100_000
 
 
 def similar_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64, k: int = 5, least: float = 0.90, **params) -> DataFrame:
@@ -404,9 +404,8 @@ def similar_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     sure = pairs.filter(F.col("sim") > least + HALF_ERROR).select("vec_lo", "vec_hi")
     unsure = pairs.filter(F.col("sim") <= least + HALF_ERROR)
     wanted = unsure.select(F.explode(F.array("vec_lo", "vec_hi")).alias("id")).distinct()
-    few = wanted.count() <= CHECK_ROWS
     stored = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    stored = stored.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").dropDuplicates(["id"])
+    stored = stored.join(_small(wanted), "id", "left_semi").dropDuplicates(["id"])
     unit = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))
     stored = stored.select("id", unit.alias("v")).select("id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("len"))
     lo, hi = (stored.select(F.col("id").alias(f"vec_{s}"), F.col("v").alias(f"v_{s}"), F.col("len").alias(f"len_{s}")) for s in ("lo", "hi"))
@@ -437,6 +436,11 @@ def _round(stage: Stage, graph: DataFrame, nodes: DataFrame, homes: int, dims: i
     return stage.write(met.repartition(homes, "id").mapInArrow(_merge_lists(degree), merged), "lists")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if it has at most ``CHECK_ROWS`` rows, which is counted; joined by a shuffle beyond."""
+    return F.broadcast(df) if df.count() <= CHECK_ROWS else df
+
+
 def build_graph(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64, degree: int = DEGREE, orders: int = 4, max_rounds: int = 8, seed: int = 7, block_rows: int = BLOCK_ROWS, home_rows: int = HOME_ROWS) -> NeighbourGraph:
     """Builds the neighbour graph of all usable vectors by NN-descent.
 
@@ -446,9 +450,12 @@ def build_graph(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     spark: SparkSession = df.sparkSession
     stage = Stage(spark, "neighbours")
     raw = stage.write(usable_vectors(df, id_col, vec_col, dims).groupBy("id").agg(F.first("vec").alias("vec")).withColumn("h", F.xxhash64("vec")), "vectors")
-    classes = raw.groupBy("h", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "vec", "rep")
-    copies = stage.write(raw.join(classes, ["h", "vec"]).select("id", "rep"), "copies")
-    base = raw.select("id", "vec").join(copies.filter("id <> rep").select("id"), "id", "left_anti")
+    # copies are looked for by hash; vectors move only where a hash occurs twice
+    twice = stage.write(raw.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "twice")
+    alike = raw.join(_small(twice), "h")
+    classes = alike.groupBy("h", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "vec", "rep")
+    copies = stage.write(alike.join(_small(stage.write(classes, "classes")), ["h", "vec"]).select("id", "rep"), "copies")
+    base = raw.select("id", "vec").join(_small(copies.filter("id <> rep").select("id")), "id", "left_anti")
 
     total = raw.count()
     sample = base.withColumn("_o", F.xxhash64("id", F.lit(seed))).orderBy("_o", "id").limit(SAMPLE_ROWS).select("vec").collect()
