@@ -87,16 +87,23 @@ def _centroids(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return c[order].astype(np.float32)
 
 
-def _with_key(dims: int, cents: np.ndarray, planes: np.ndarray, cols: list[str]):
-    """Adds the sort key: the nearest centroid, then signs of random projections of the rest."""
+def _keys(x: np.ndarray, ids: np.ndarray, cents: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Sort keys: the nearest centroid, then signs of random projections of the rest, then bits of the id that split ties."""
+    weights = 1 << np.arange(len(planes))[::-1]
+    cell = np.argmax(x @ cents.T, axis=1)
+    signs = ((x - cents[cell]) @ planes.T > 0) @ weights
+    spread = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    return ((cell.astype(np.int64) << len(planes)) + signs << 16) + spread
+
+
+def _with_key(dims: int, cents: np.ndarray, planes: np.ndarray, bounds: np.ndarray, cols: list[str]):
+    """Adds the sort key and the part of the key range it lies in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(planes.shape[0])[::-1]
         for b in batches:
             x = matrix(b.column(cols.index("vec")), dims, "float16").astype(np.float32)
-            cell = np.argmax(x @ cents.T, axis=1)
-            signs = ((x - cents[cell]) @ planes.T > 0) @ weights
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int64) * (1 << planes.shape[0]) + signs)], [*cols, "key"])
+            keys = _keys(x, np.asarray(b.column(cols.index("id"))), cents, planes)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys), pa.array(np.searchsorted(bounds, keys, side="right").astype(np.int32))], [*cols, "key", "part"])
 
     return run
 
@@ -418,6 +425,14 @@ def _decode(rows: list, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), np.float16).reshape(len(rows), dims).astype(np.float32)
 
 
+def _first_lists(stage: Stage, nodes: DataFrame, ordered, orders: int, homes: int, dims: int, degree: int, block_rows: int, merged: str) -> DataFrame:
+    """The best entries of the blocks of all orders."""
+    # the files of the first order keep its rows together, so they are read as they were written
+    rows = [nodes, *(ordered(nodes, n).select("id", "home", "vec") for n in range(1, orders))]
+    lists = [r.mapInArrow(_block_lists(dims, degree, block_rows), f"id long, {_LISTS}") for r in rows]
+    return stage.write(reduce(DataFrame.unionByName, lists).repartition(homes, "id").mapInArrow(_merge_lists(degree), merged), "lists")
+
+
 def _round(stage: Stage, graph: DataFrame, nodes: DataFrame, homes: int, dims: int, degree: int, merged: str) -> DataFrame:
     """The lists after every node has met the neighbours of its neighbours."""
     full = graph.select("id", "nbr", "nhome", "sim").join(nodes, "id")
@@ -458,31 +473,28 @@ def build_graph(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     base = raw.select("id", "vec").join(_small(copies.filter("id <> rep").select("id")), "id", "left_anti")
 
     total = raw.count()
-    sample = base.withColumn("_o", F.xxhash64("id", F.lit(seed))).orderBy("_o", "id").limit(SAMPLE_ROWS).select("vec").collect()
+    sample = base.withColumn("_o", F.xxhash64("id", F.lit(seed))).orderBy("_o", "id").limit(SAMPLE_ROWS).select("id", "vec").collect()
     points = _decode(sample, dims) if sample else np.zeros((1, dims), np.float32)
+    point_ids = np.array([r["id"] for r in sample] or [0], np.int64)
     rng = np.random.default_rng(seed)
     # as many homes as the cluster has use for, but none smaller than a block, and none larger than home_rows
     homes = max(1, min(shuffle_partitions(spark), total // block_rows), -(-total // home_rows))
 
     def ordered(nodes: DataFrame, n: int) -> DataFrame:
+        """The nodes in the n-th sort order; parts of equal size are told from the sample while it has 64 rows for each."""
         cents = _centroids(points, CENTROIDS, seed + n)
         planes = rng.standard_normal((14, dims)).astype(np.float32)
-        keyed = nodes.mapInArrow(_with_key(dims, cents, planes, nodes.columns), T.StructType([*nodes.schema.fields, T.StructField("key", T.LongType())]))
-        return keyed.repartitionByRange(homes, "key", "id").sortWithinPartitions("key", "id")
+        told = homes <= max(1, len(sample) // 64)
+        keys = np.sort(_keys(points, point_ids, cents, planes))
+        bounds = keys[[len(keys) * i // homes for i in range(1, homes)]] if told else keys[:0]
+        keyed = nodes.mapInArrow(_with_key(dims, cents, planes, bounds, nodes.columns), T.StructType([*nodes.schema.fields, T.StructField("key", T.LongType()), T.StructField("part", T.IntegerType())]))
+        parted = keyed.repartitionById(homes, "part") if told else keyed.repartitionByRange(homes, "key", "id")
+        return parted.sortWithinPartitions("key", "id")
 
     nodes = stage.write(ordered(base, 0).withColumn("home", F.spark_partition_id()).select("id", "home", "vec"), "nodes")
     stage.drop(raw)
-    lists = []
-    for n in range(orders):
-        # the files of the first order keep its rows together, so they are read as they were written
-        rows = nodes if n == 0 else ordered(nodes, n).select("id", "home", "vec")
-        lists.append(stage.write(rows.mapInArrow(_block_lists(dims, degree, block_rows), f"id long, {_LISTS}"), "blocks"))
-        del rows
-        stage.release()
     merged = "id long, " + _LISTS + ", changed int"
-    graph = stage.write(reduce(DataFrame.unionByName, lists).repartition(homes, "id").mapInArrow(_merge_lists(degree), merged), "lists")
-    stage.drop(*lists)
-    del lists
+    graph = _first_lists(stage, nodes, ordered, orders, homes, dims, degree, block_rows, merged)
     stage.release()
 
     rounds: list[float] = []
