@@ -331,7 +331,7 @@ def _spread(best: DataFrame, members: DataFrame) -> DataFrame:
 
 
 #: Nodes from which a search begins, the best of them that it expands first, and the nodes it keeps.
-ENTRIES, STARTS, BEAM = 1024, 4, 24
+ENTRIES, STARTS, BEAM = 1024, 8, 64
 
 
 def _start(dims: int, ids: np.ndarray, points: np.ndarray, starts: int):
