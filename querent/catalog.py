@@ -542,7 +542,7 @@ _KEY = r"trim(regexp_replace(lower(question), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\
 
 @query(f"WITH k AS (SELECT DISTINCT split, query_id, {_KEY} AS key FROM queries WHERE question IS NOT NULL) SELECT split, key, count(DISTINCT query_id) AS ids FROM k WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT query_id) > 1")
 def dup_question(spark, sf):
-    return audit.duplicate_questions(V.read(spark, sf, "queries"), exact=False)
+    return audit.duplicate_questions(V.read(spark, sf, "queries"))
 
 
 @query(f"WITH {V.SQL_CORPUS}, {V.SQL_QUESTIONS} SELECT DISTINCT query_id, d AS doc_id FROM (SELECT query_id, unnest(relevant_ids) AS d FROM q) WHERE d NOT IN (SELECT doc_id FROM c)")
@@ -564,7 +564,7 @@ def gold_answer_present(spark, sf):
 @query(f"""WITH k AS (SELECT split, query_id, {_KEY} AS key FROM queries) SELECT 'query_id' AS kind, query_id AS key FROM (SELECT query_id FROM k WHERE split = 'dev' INTERSECT SELECT query_id FROM k WHERE split = 'test')
     UNION ALL SELECT 'question', key FROM (SELECT key FROM k WHERE split = 'dev' AND key <> '' INTERSECT SELECT key FROM k WHERE split = 'test' AND key <> '')""")
 def split_overlap(spark, sf):
-    return audit.split_overlap(V.read(spark, sf, "queries"), exact=False)
+    return audit.split_overlap(V.read(spark, sf, "queries"))
 
 
 @query(f"WITH {V.SQL_QUESTIONS} SELECT unnest(relevant_ids) AS doc_id FROM q WHERE split = 'dev' INTERSECT SELECT unnest(relevant_ids) FROM q WHERE split = 'test'")
@@ -575,7 +575,7 @@ def gold_doc_overlap(spark, sf):
 @query(rf"""WITH {V.SQL_CORPUS}, {V.SQL_QUESTIONS}, k AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))) AS content FROM c), g AS (SELECT DISTINCT split, unnest(relevant_ids) AS doc_id FROM q)
     SELECT content FROM g JOIN k USING (doc_id) WHERE split = 'dev' INTERSECT SELECT content FROM g JOIN k USING (doc_id) WHERE split = 'test'""")
 def evidence_overlap(spark, sf):
-    return audit.evidence_overlap(V.questions(spark, sf), V.corpus(spark, sf), exact=False)
+    return audit.evidence_overlap(V.questions(spark, sf), V.corpus(spark, sf))
 
 
 @query()
