@@ -98,7 +98,8 @@ def normalize_unicode(spark, sf):
     FROM (SELECT query_id, doc_id, answer, text, unnest(range(0, greatest(0, length(text) - length(answer) + 1))) AS i FROM p JOIN c USING (doc_id))
     WHERE text[i + 1 : i + length(answer)] = answer""")
 def answer_spans(spark, sf):
-    asked = V.questions(spark, sf).filter("size(answers) > 0").select("query_id", F.explode("relevant_ids").alias("doc_id"), F.col("answers")[0].alias("answer"))
+    """Of every gold answer in every relevant document; the SQL has the first answer only."""
+    asked = V.questions(spark, sf).select("query_id", "relevant_ids", F.explode("answers").alias("answer")).select("query_id", F.explode("relevant_ids").alias("doc_id"), "answer")
     spans = asked.join(V.corpus(spark, sf), "doc_id").select("query_id", "doc_id", "answer", F.explode(X.answer_spans(F.col("text"), F.col("answer"))).alias("x"))
     return spans.select("query_id", "doc_id", "answer", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"))
 

@@ -47,3 +47,12 @@ def test_questions_and_evidence_compare_by_the_full_key(spark, variants):
     assert run("dup_question") == [("train", k, 2) for k in same]
     assert run("split_overlap") == [("question", k) for k in same]
     assert run("evidence_overlap") == sorted((hashlib.sha256(k.encode()).hexdigest(),) for k in same)
+
+
+def test_spans_of_every_gold_answer(spark, tmp_path):
+    docs = [("a", "t", "aaa and maps, maps", "s"), ("b", "t", "keys or maps", "s"), ("c", "t", None, "s")]
+    asked = [("q1", ["a", "b"], ["keys", "maps"]), ("q2", ["a"], ["aa", "zz", "and"]), ("q3", ["c", "none"], ["x", "y"]), ("q4", ["a"], []), ("q5", [], ["maps"])]
+    sf = tables(spark, tmp_path, [ask(q, "?", "dev", d, a) for q, d, a in asked], docs)
+    text = {d: t or "" for d, _, t, _ in docs}
+    want = [(q, d, a, i, i + len(a)) for q, ds, golds in asked for d in ds for a in golds for i in range(len(text.get(d, ""))) if text[d].startswith(a, i)]
+    assert sorted(tuple(r) for r in catalog.queries()["answer_spans"](spark, sf).collect()) == sorted(want) and len(want) == 7
