@@ -472,7 +472,7 @@ def build_graph(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     copies = stage.write(alike.join(_small(stage.write(classes, "classes")), ["h", "vec"]).select("id", "rep"), "copies")
     base = raw.select("id", "vec").join(_small(copies.filter("id <> rep").select("id")), "id", "left_anti")
 
-    total = raw.count()
+    total = raw.count() - copies.filter("id <> rep").count()  # the nodes: one for each class of copies
     sample = base.withColumn("_o", F.xxhash64("id", F.lit(seed))).orderBy("_o", "id").limit(SAMPLE_ROWS).select("id", "vec").collect()
     points = _decode(sample, dims) if sample else np.zeros((1, dims), np.float32)
     point_ids = np.array([r["id"] for r in sample] or [0], np.int64)

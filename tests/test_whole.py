@@ -4,9 +4,11 @@ import hashlib
 import unicodedata
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from querent import catalog
+from querent.llm import neighbours
 
 QUERIES = "query_id string, question string, relevant_ids array<string>, answers array<string>, split string, source string, created_at timestamp"
 CORPUS = "doc_id string, title string, text string, source string"
@@ -56,3 +58,13 @@ def test_spans_of_every_gold_answer(spark, tmp_path):
     text = {d: t or "" for d, _, t, _ in docs}
     want = [(q, d, a, i, i + len(a)) for q, ds, golds in asked for d in ds for a in golds for i in range(len(text.get(d, ""))) if text[d].startswith(a, i)]
     assert sorted(tuple(r) for r in catalog.queries()["answer_spans"](spark, sf).collect()) == sorted(want) and len(want) == 7
+
+
+def test_copies_do_not_end_the_rounds_early(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((12, 16)) * 2
+    x = (centres[rng.integers(0, 12, 600)] + rng.standard_normal((600, 16))).astype(np.float32).tolist()
+    rows = [(i + 1, v) for i, v in enumerate(x)]
+    build = lambda rows: neighbours.build_graph(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), dims=16, block_rows=100, home_rows=150, orders=2)
+    # nine tenths of the rows are copies, the graph is the same
+    assert build(rows + [(600 * c + i, v) for c in range(1, 10) for i, v in rows]).rounds == pytest.approx(build(rows).rounds)
