@@ -504,6 +504,13 @@ def paired_comparison(spark, sf):
     return _r(compare.paired_comparison(rows.filter("experiment = 'lexical-base'"), rows.filter("experiment = 'dense-base'")))
 
 
+@query()
+def paired_interval(spark, sf):
+    """The results of paired_comparison with the interval of the differences."""
+    rows = _scored(spark, sf).groupBy("experiment", "query_id").agg(F.avg("answer_em").alias("answer_em"))
+    return _r(compare.paired_interval(rows.filter("experiment = 'lexical-base'"), rows.filter("experiment = 'dense-base'")))
+
+
 @query()
 def bootstrap_mean(spark, sf):
     return _r(compare.bootstrap_mean(_scored(spark, sf), "answer_em", ("experiment",)))
@@ -589,6 +596,14 @@ def coverage_check(spark, sf):
     return audit.coverage_check(V.read(spark, sf, "runner").filter("experiment = 'lexical-base'"), V.read(spark, sf, "queries").filter("split = 'test'"))
 
 
+@query()
+def coverage_by_experiment(spark, sf):
+    """coverage_check of every experiment."""
+    asked = V.read(spark, sf, "queries").filter("split = 'test'").select("query_id")
+    expected = V.read(spark, sf, "experiments").select("experiment").crossJoin(asked)
+    return audit.coverage_check(V.read(spark, sf, "runner"), expected, by=("experiment",))
+
+
 _BAD = "NOT coalesce({0}, false)"
 _TIME = "NOT isnan({0}) AND NOT isinf({0}) AND {0} >= 0"
 

@@ -84,10 +84,11 @@ def split_policy(queries: DataFrame, corpus: DataFrame, policy: str = "document"
     return own.unionByName(docs).unionByName(evidence_overlap(queries, corpus).select(F.lit("evidence").alias("kind"), F.col("content").alias("key")))
 
 
-def coverage_check(rows: DataFrame, expected: DataFrame, key: str = "query_id") -> DataFrame:
-    """(key, side): ids that only the rows, or only the expected set, have."""
-    a, b = rows.select(key).distinct().withColumn("_a", F.lit(True)), expected.select(key).distinct().withColumn("_b", F.lit(True))
-    return a.join(b, key, "full_outer").filter("_a is null or _b is null").select(key, F.when(F.col("_a").isNull(), "missing").otherwise("unexpected").alias("side"))
+def coverage_check(rows: DataFrame, expected: DataFrame, key: str = "query_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., key, side): ids that only the rows, or only the expected set, have."""
+    cols = [*by, key]
+    a, b = rows.select(*cols).distinct().withColumn("_a", F.lit(True)), expected.select(*cols).distinct().withColumn("_b", F.lit(True))
+    return a.join(b, cols, "full_outer").filter("_a is null or _b is null").select(*cols, F.when(F.col("_a").isNull(), "missing").otherwise("unexpected").alias("side"))
 
 
 def invalid_evaluation_rows(rows: DataFrame, key: str = "attempt_id") -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 
 from querent import catalog
 from querent.llm import neighbours
+from querent.operators import audit, compare
 
 QUERIES = "query_id string, question string, relevant_ids array<string>, answers array<string>, split string, source string, created_at timestamp"
 CORPUS = "doc_id string, title string, text string, source string"
@@ -68,3 +69,19 @@ def test_copies_do_not_end_the_rounds_early(spark):
     build = lambda rows: neighbours.build_graph(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), dims=16, block_rows=100, home_rows=150, orders=2)
     # nine tenths of the rows are copies, the graph is the same
     assert build(rows + [(600 * c + i, v) for c in range(1, 10) for i, v in rows]).rounds == pytest.approx(build(rows).rounds)
+
+
+def test_interval_of_paired_differences(spark):
+    diffs = [1.0, 0.0, -1.0, 1.0, 1.0] * 20
+    side = lambda sign: spark.createDataFrame([(str(i), max(0.0, sign * d)) for i, d in enumerate(diffs)], "query_id string, answer_em double")
+    got = compare.paired_interval(side(1), side(-1)).first()
+    want = compare.bootstrap_values(diffs, seed=3)
+    assert (got["estimate"], got["wins"], got["ties"], got["losses"], got["unpaired"]) == (0.4, 60, 20, 20, 0)
+    assert abs(got["lower"] - want["lower"]) < 0.05 and abs(got["upper"] - want["upper"]) < 0.05
+
+
+def test_coverage_of_every_experiment(spark):
+    rows = spark.createDataFrame([("a", "q1"), ("b", "q2"), ("b", "q3")], "experiment string, query_id string")
+    expected = spark.createDataFrame([(e, q) for e in "abc" for q in ("q1", "q2")], "experiment string, query_id string")
+    want = [("a", "q2", "missing"), ("b", "q1", "missing"), ("b", "q3", "unexpected"), ("c", "q1", "missing"), ("c", "q2", "missing")]
+    assert sorted(tuple(r) for r in audit.coverage_check(rows, expected, by=("experiment",)).collect()) == want
