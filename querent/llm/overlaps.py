@@ -30,14 +30,19 @@ def _words() -> re.Pattern:
     return re.compile(r"[^\W_]+")
 
 
-def distinct_words(text: str | None) -> list[str]:
-    """Runs of letters and digits after NFKC, without format characters, case and accents; each once."""
+def folded_words(text: str | None) -> list[str]:
+    """Runs of letters and digits after NFKC, without format characters, case and accents, as they stand."""
     if not text:
         return []
     if not text.isascii():
         text = format_characters().sub("", unicodedata.normalize("NFKC", text)).lower()
         text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
-    return sorted(set(_words().findall(text.lower())))
+    return _words().findall(text.lower())
+
+
+def distinct_words(text: str | None) -> list[str]:
+    """The folded words, each once."""
+    return sorted(set(folded_words(text)))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -45,6 +50,11 @@ def _distinct_words(s: pd.Series) -> pd.Series:
     return s.map(distinct_words)
 
 
+@F.pandas_udf(T.StringType())
+def _folded_text(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: " ".join(folded_words(x)))
+
+
 #: Sizes up to this are told apart, larger ones by steps of this ratio.
 EXACT_SIZES, STEP = 32, 1.05
 
@@ -120,15 +130,20 @@ def overlapping_ids(df: DataFrame, base: str = "train", others: tuple[str, ...]
 
 
 def overlap_report(df: DataFrame, base: str = "train", others: tuple[str, ...] = ("dev", "test"), threshold: float = THRESHOLD) -> DataFrame:
-    """(split, source, records, overlapping, exact, mean_coverage): how much of each evaluation split stands in ``base``.
+    """(split, source, records, overlapping, exact, identical, mean_coverage): how much of each evaluation split stands in ``base``.
 
     Counts are of distinct (id, question words) records; coverage is the share of a record's words that
-    its best match in ``base`` has. Sources compare as they are; null is a source of its own.
+    its best match in ``base`` has. ``exact`` records have the same set of words as one in ``base``,
+    ``identical`` ones the same words in the same order and number. Sources compare as they are; null is a source of its own.
     """
     pairs, records = cross_split_pairs(df, base=base, others=others, threshold=threshold)
     best = pairs.groupBy(F.col("other_class").alias("class")).agg(F.max("shared").alias("shared"), F.max(F.col("base_class") == F.col("other_class")).alias("exact"))
     sources = df.filter(F.col("split").isin(*others)).select(F.col("query_id").cast("string").alias("id"), "split", "source").distinct()
-    rows = records.filter(F.col("split") != base).join(sources, ["id", "split"]).join(best, "class", "left")
+    texts = df.filter(F.col("query_id").isNotNull() & F.col("split").isin(base, *others)).select(F.col("query_id").cast("string").alias("id"), "split", F.col("question").cast("string").alias("text")).distinct()
+    texts = texts.withColumn("folded", _folded_text("text")).filter("folded <> ''").withColumn("class", F.sha2(F.concat_ws(" ", F.array_sort(F.array_distinct(F.split("folded", " ")))), 256))
+    in_base = texts.filter(F.col("split") == base).select("folded").distinct()
+    identical = texts.filter(F.col("split") != base).join(in_base, "folded", "left_semi").select("id", "split", "class").distinct().withColumn("identical", F.lit(True))
+    rows = records.filter(F.col("split") != base).join(sources, ["id", "split"]).join(best, "class", "left").join(identical, ["id", "split", "class"], "left")
     return rows.groupBy("split", "source").agg(
-        F.count(F.lit(1)).alias("records"), F.count("shared").alias("overlapping"), F.count_if("exact").alias("exact"), F.avg(F.col("shared") / F.col("size")).alias("mean_coverage")
+        F.count(F.lit(1)).alias("records"), F.count("shared").alias("overlapping"), F.count_if("exact").alias("exact"), F.count_if("identical").alias("identical"), F.avg(F.col("shared") / F.col("size")).alias("mean_coverage")
     )

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from querent import catalog
-from querent.llm import neighbours
+from querent.llm import neighbours, overlaps
 from querent.operators import audit, compare
 
 QUERIES = "query_id string, question string, relevant_ids array<string>, answers array<string>, split string, source string, created_at timestamp"
@@ -85,3 +85,9 @@ def test_coverage_of_every_experiment(spark):
     expected = spark.createDataFrame([(e, q) for e in "abc" for q in ("q1", "q2")], "experiment string, query_id string")
     want = [("a", "q2", "missing"), ("b", "q1", "missing"), ("b", "q3", "unexpected"), ("c", "q1", "missing"), ("c", "q2", "missing")]
     assert sorted(tuple(r) for r in audit.coverage_check(rows, expected, by=("experiment",)).collect()) == want
+
+
+def test_report_tells_the_same_text_from_the_same_words(spark):
+    rows = [ask("a", "Café one two", "train"), ask("b", "two one cafe", "test"), ask("c", "cafe ONE, two!", "test"), ask("d", "cafe one two two", "test")]
+    got = overlaps.overlap_report(spark.createDataFrame(rows, QUERIES)).first()
+    assert (got["records"], got["exact"], got["identical"]) == (3, 3, 1)
