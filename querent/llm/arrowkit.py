@@ -52,3 +52,19 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     """All batches of one partition, whose size the caller bounds by the number of partitions."""
     got = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(got).combine_chunks() if got else None
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Rows that are sorted by an integer column, in tables that split no group; only the last group of a batch is held back."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.asarray(b.column(b.schema.get_field_index(column)))
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut or (held and held[-1].column(column)[0].as_py() != keys[-1]):
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

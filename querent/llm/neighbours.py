@@ -1,18 +1,18 @@
 """Most similar vectors for every vector: NN-descent as iterative Spark joins.
 
 The graph of neighbours starts from blocks of a few sorted orders (centroid, then signs of random
-projections; the centroids are fitted on a bounded sample, every row is placed) and is improved by
-rounds in which each node meets the neighbours of its neighbours. Nodes that are close in the first
-order share a home, so that most meetings need no vector from elsewhere; lists and vectors of other
-homes are fetched by joins on node ids, once per home. Every block and every home has a bounded
-number of rows and every list has ``degree`` entries, whatever the data look like: hot topics are
-just many homes, and exact copies are one node.
+projections; the centroids are fitted on a bounded sample, every row is placed): the rows of a block
+are compared with each other, and each row takes its list along to the next order. Rounds of NN-descent
+then let the neighbours of every node meet each other. A list entry remembers the orders and rounds in
+which it has met its node; two entries that share one have met already, so a round moves only the
+vectors of nodes that still have somebody to meet. Every block has a bounded number of rows and every
+list ``degree`` entries, whatever the data look like: hot topics are just many blocks, and exact copies
+are one node. What moves is proportional to the rows, at every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +21,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from querent.llm.arrowkit import binary, flat, gathered, matrix, sliced
+from querent.llm.arrowkit import binary, flat, matrix, sliced, whole_groups
+from querent.plans.skew import join_on_hot_key
 from querent.plans.staging import Stage, shuffle_partitions
 
 #: Documented bounds and sizes: vectors on which centroids are fitted, centroids, rows of a block
-#: that are compared with each other, rows of a home, entries of a neighbour list.
-SAMPLE_ROWS, CENTROIDS, BLOCK_ROWS, HOME_ROWS, DEGREE = 8192, 128, 4096, 16384, 12
+#: that are compared with each other, rows of a partition, rows sampled for each bound between
+#: partitions, entries of a neighbour list.
+SAMPLE_ROWS, CENTROIDS, BLOCK_ROWS, HOME_ROWS, BOUND_ROWS, DEGREE = 8192, 128, 4096, 1 << 20, 64, 12
 #: Most ids or hashes that are broadcast; more are joined by a shuffle.
 CHECK_ROWS = 100_000
 #: Rounds end when fewer than this share of list entries change.
 LEAST_CHANGE = 0.01
-_LISTS = "nbr binary, nhome binary, sim binary"
-#: Added to the home of an entry that the list had before the round.
-KNOWN = 1 << 30
+#: Unit vectors in float16 give cosines within this of the exact ones.
+HALF_ERROR = 5e-4
+_LISTS = "nbr binary, sim binary, met binary"
+#: The orders have the lower bits of ``met``; this one is for entries that a round has seen.
+JOINED = 128
 
 
-def _unit_rows(dims: int, id_at: int, vec_at: int):
+def _unit_rows(dims: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vec, ids = b.column(vec_at), b.column(id_at)
+            vec, ids = b.column(1), b.column(0)
             ok = np.asarray(vec.is_valid()) & np.asarray(ids.is_valid())
             sizes = np.asarray(pa.compute.list_value_length(vec).fill_null(0))
             keep = np.flatnonzero(ok & (sizes == dims))
@@ -50,13 +54,14 @@ def _unit_rows(dims: int, id_at: int, vec_at: int):
             keep, x = keep[good], x[good]
             x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if len(x) else x
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)).cast(pa.int64()), binary(x.astype(np.float16))], ["id", "vec"])
+            cols = [ids.take(pa.array(keep)).cast(pa.int64()), binary(x.astype(np.float16)), *([binary(x)] if exact else [])]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "vec", "full"][: len(cols)])
 
     return run
 
 
-def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dims: int) -> DataFrame:
-    """(id, vec): unit vectors as float16 bytes.
+def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dims: int, exact: bool = False) -> DataFrame:
+    """(id, vec): unit vectors as float16 bytes; with ``exact`` also ``full``, in double precision.
 
     Null ids, and vectors that are null, of another dimension, all zero or not finite, take no part.
     Vectors are divided by their largest magnitude first, so extreme lengths survive.
@@ -64,7 +69,7 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dims: int) -> DataF
     kind = df.schema[vec_col].dataType
     number = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))
     src = df.select(F.col(id_col).cast("long").alias("id"), (F.col(vec_col) if number else F.col(vec_col).cast("array<double>")).alias("v"))
-    return src.mapInArrow(_unit_rows(dims, 0, 1), "id long, vec binary")
+    return src.mapInArrow(_unit_rows(dims, exact), "id long, vec binary" + (", full binary" if exact else ""))
 
 
 def _centroids(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -96,227 +101,304 @@ def _keys(x: np.ndarray, ids: np.ndarray, cents: np.ndarray, planes: np.ndarray)
     return ((cell.astype(np.int64) << len(planes)) + signs << 16) + spread
 
 
-def _with_key(dims: int, cents: np.ndarray, planes: np.ndarray, bounds: np.ndarray, cols: list[str]):
-    """Adds the sort key and the part of the key range it lies in."""
+def _top(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest entries of each row, largest first."""
+    k = min(k, sims.shape[1])
+    at = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.tile(np.arange(k), (len(sims), 1))
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(sims, at, 1), axis=1, kind="stable"), 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = matrix(b.column(cols.index("vec")), dims, "float16").astype(np.float32)
-            keys = _keys(x, np.asarray(b.column(cols.index("id"))), cents, planes)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys), pa.array(np.searchsorted(bounds, keys, side="right").astype(np.int32))], [*cols, "key", "part"])
 
-    return run
+def _floors(sims: np.ndarray, k: int) -> np.ndarray:
+    """For each row a value that at least k of its entries reach, and not many more.
 
+    The k-th largest of the maxima of groups of 16 columns; the groups are strided, so that the maxima
+    are taken by whole rows of memory.
+    """
+    width = sims.shape[1] // 16
+    if width <= 2 * k:
+        return np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -8, np.float32)
+    maxima = sims[:, : 16 * width].reshape(len(sims), 16, width).max(axis=1)
+    return np.partition(maxima, -k, axis=1)[:, -k]
 
-def _top(sims: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest entries of each row, largest first.
 
-    In wide rows the k largest are looked for only in the k groups of 16 columns with the largest maxima.
-    """
-    n, width = sims.shape
-    k = min(k, width)
-    if width > 32 * k:
-        cut = width // 16 * 16
-        maxima = sims[:, :cut].reshape(n, -1, 16).max(axis=2)
-        groups = np.argpartition(-maxima, k - 1, axis=1)[:, :k]
-        near = (groups[:, :, None] * 16 + np.arange(16)).reshape(n, -1)
-        near = np.hstack([near, np.broadcast_to(np.arange(cut, width), (n, width - cut))])
-        return np.take_along_axis(near, _top(np.take_along_axis(sims, near, 1), k), 1)
-    at = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < width else np.tile(np.arange(k), (n, 1))
-    return np.take_along_axis(at, np.argsort(-np.take_along_axis(sims, at, 1), axis=1, kind="stable"), 1)
+class _Order:
+    """One sorted order: its centroids, projections, and the bounds of its partitions; travels to the workers."""
 
+    def __init__(self, cents: np.ndarray, planes: np.ndarray, bounds: np.ndarray) -> None:
+        self.cents, self.planes, self.bounds = cents, planes, bounds
 
-def _padded(ids: np.ndarray, homes: np.ndarray, sims: np.ndarray, k: int) -> list[pa.Array]:
-    """Lists as bytes with exactly k entries; missing ones have id -1 and similarity -9."""
-    n, have = ids.shape
-    if have < k:
-        ids = np.hstack([ids, np.full((n, k - have), -1)])
-        homes = np.hstack([homes, np.full((n, k - have), -1)])
-        sims = np.hstack([sims, np.full((n, k - have), -9.0)])
-    gone = sims <= -2
-    return [binary(np.where(gone, -1, ids).astype(np.int64)), binary(np.where(gone, -1, homes).astype(np.int32)), binary(sims.astype(np.float32))]
+    def place(self, x: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+        keys = _keys(x, ids, self.cents, self.planes)
+        return [pa.array(keys), pa.array(np.searchsorted(self.bounds, keys, side="right").astype(np.int32))]
 
 
-def _block_lists(dims: int, k: int, rows: int):
-    """Compares all rows of each block of consecutive rows with each other."""
+def _placed(dims: int, order: _Order):
+    """Adds the sort key and the partition of an order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for b in batches:
+            x = matrix(b.column(1), dims, "float16").astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*b.columns, *order.place(x, np.asarray(b.column(0)))], ["id", "vec", "key", "part"])
+
+    return run
 
-        def done(t: pa.Table) -> pa.RecordBatch:
-            ids, homes = np.asarray(t["id"]), np.asarray(t["home"])
-            x = matrix(t["vec"], dims, "float16").astype(np.float32)
-            at, best = np.zeros((len(x), min(k, max(1, len(x) - 1))), np.int64), None
-            best = np.zeros(at.shape, np.float32)
-            for lo in range(0, len(x), 512):
-                s = x[lo : lo + 512] @ x.T
-                s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -9
-                top = _top(s, at.shape[1])
-                at[lo : lo + 512], best[lo : lo + 512] = top, np.take_along_axis(s, top, 1)
-            return pa.RecordBatch.from_arrays([pa.array(ids), *_padded(ids[at], homes[at], best, k)], ["id", "nbr", "nhome", "sim"])
 
+def _all_keys(dims: int, orders: list[_Order]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, ids = matrix(b.column(1), dims, "float16").astype(np.float32), np.asarray(b.column(0))
+            yield pa.RecordBatch.from_arrays([binary(np.stack([_keys(x, ids, o.cents, o.planes) for o in orders], 1))], ["keys"])
+
+    return run
+
+
+def _improved(x: np.ndarray, ids: np.ndarray, nbr: np.ndarray, sim: np.ndarray, met: np.ndarray, bit: int) -> None:
+    """Compares all rows of a block with each other and puts the best into their lists."""
+    n, k = nbr.shape
+    by_id = np.argsort(ids, kind="stable")
+    at = np.minimum(np.searchsorted(ids, nbr, sorter=by_id), n - 1)
+    at = by_id[at]
+    here = (ids[at] == nbr) & (nbr >= 0)
+    met[here] |= bit
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for lo in range(0, n, 256):
+        s = x[lo : lo + 256] @ x.T
+        rows = np.arange(len(s))
+        s[rows, rows + lo] = -9
+        own = here[lo : lo + 256]
+        s[np.broadcast_to(rows[:, None], own.shape)[own], at[lo : lo + 256][own]] = -9
+        least = np.maximum(_floors(s, min(k, n)), np.maximum(sim[lo : lo + 256, -1], -2))
+        r, c = np.divmod(np.flatnonzero(s >= least[:, None]), n)
+        found.append((r + lo, c, s[r, c]))
+    r, c, v = (np.concatenate(f) for f in zip(*found))
+    order = np.argsort(4.0 * r - v, kind="stable")
+    r, c, v = r[order], c[order], v[order]
+    begin = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
+    rank = np.arange(len(r)) - np.repeat(begin, np.diff(np.r_[begin, len(r)]))
+    keep = rank < k
+    r, c, v, rank = r[keep], c[keep], v[keep], rank[keep]
+    width = int(rank.max()) + 1 if len(rank) else 0
+    more_id, more_sim, more_met = np.full((n, width), -1, np.int64), np.full((n, width), -9, np.float32), np.full((n, width), bit, np.uint8)
+    more_id[r, rank], more_sim[r, rank] = ids[c], v
+    every = [np.hstack(p) for p in ((nbr, more_id), (sim, more_sim), (met, more_met))]
+    best = np.argsort(-every[1], axis=1, kind="stable")[:, :k]
+    nbr[:], sim[:], met[:] = (np.take_along_axis(e, best, 1) for e in every)
+    met[nbr < 0] = 0
+
+
+def _block_lists(dims: int, k: int, rows: int, bit: int, following: _Order | None, keep_vec: bool):
+    """Compares the rows of each block of consecutive rows, and places them in the following order."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        ids, n = np.asarray(t["id"]), t.num_rows
+        x = matrix(t["vec"], dims, "float16").astype(np.float32)
+        if "nbr" in t.column_names:
+            nbr, sim, met = matrix(t["nbr"], k, "int64").copy(), matrix(t["sim"], k, "float32").copy(), matrix(t["met"], k, "uint8").copy()
+        else:
+            nbr, sim, met = np.full((n, k), -1, np.int64), np.full((n, k), -9, np.float32), np.zeros((n, k), np.uint8)
+        _improved(x, ids, nbr, sim, met, bit)
+        cols = {"id": pa.array(ids), "vec": t["vec"].combine_chunks(), "nbr": binary(nbr), "sim": binary(sim), "met": binary(met)}
+        if isinstance(cols["vec"], pa.ChunkedArray):
+            cols["vec"] = pa.concat_arrays(cols["vec"].chunks)
+        if following:
+            cols["key"], cols["part"] = following.place(x, ids)
+        elif not keep_vec:
+            del cols["vec"]
+            cols |= {"worst": pa.array(sim[:, -1]), "changed": pa.array(np.full(n, k, np.int32))}
+        return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
             while sum(x.num_rows for x in held) >= 2 * rows:
                 t = pa.Table.from_batches(held).combine_chunks()
                 yield done(t.slice(0, rows).combine_chunks())
                 held = t.slice(rows).combine_chunks().to_batches()
-        if held:
+        if held and sum(x.num_rows for x in held):
             t = pa.Table.from_batches(held).combine_chunks()
             if t.num_rows > rows:
                 half = t.num_rows // 2
                 yield done(t.slice(0, half).combine_chunks())
                 t = t.slice(half).combine_chunks()
-            if t.num_rows:
-                yield done(t)
+            yield done(t)
 
     return run
 
 
-def _merge_lists(k: int):
-    """The k best distinct entries of all lists of each node; ``changed``: entries that the first kind of list didn't have."""
+def _waiting(k: int):
+    """(at, id, met): the entries of each node's list that some other entry of it hasn't met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = gathered(batches)
-        if t is None:
-            return
-        ids = np.asarray(t["id"])
-        (nbr, sizes), (home, _), (sim, _) = flat(t["nbr"], "int64"), flat(t["nhome"], "int32"), flat(t["sim"], "float32")
-        node = np.repeat(ids, sizes)
-        old, home = home >= KNOWN, home & (KNOWN - 1)
-        real = nbr >= 0
-        node, nbr, home, sim, old = node[real], nbr[real], home[real], sim[real], old[real]
-        order = np.lexsort((~old, nbr, node))
-        node, nbr, home, sim, old = node[order], nbr[order], home[order], sim[order], old[order]
-        first = np.ones(len(node), bool)
-        first[1:] = (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])
-        node, nbr, home, sim, old = node[first], nbr[first], home[first], sim[first], old[first]
-        order = np.lexsort((nbr, -sim, node))
-        node, nbr, home, sim, old = node[order], nbr[order], home[order], sim[order], old[order]
-        begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, int)
-        rank = np.arange(len(node)) - np.repeat(begin, np.diff(np.r_[begin, len(node)]))
-        top = rank < k
-        keys = np.unique(ids)
-        row, rank = np.searchsorted(keys, node[top]), rank[top]
-        out_id, out_home, out_sim = np.full((len(keys), k), -1, np.int64), np.full((len(keys), k), -1, np.int32), np.full((len(keys), k), -9, np.float32)
-        out_id[row, rank], out_home[row, rank], out_sim[row, rank] = nbr[top], home[top], sim[top]
-        changed = np.bincount(row, weights=~old[top], minlength=len(keys)).astype(np.int32)
-        table = pa.table([pa.array(keys), binary(out_id), binary(out_home), binary(out_sim), pa.array(changed)], ["id", "nbr", "nhome", "sim", "changed"])
-        yield from sliced(table, 20000)
+        for b in batches:
+            nbr, met = matrix(b.column(1), k, "int64"), matrix(b.column(2), k, "uint8")
+            real = nbr >= 0
+            apart = ((met[:, :, None] & met[:, None, :]) == 0) & real[:, :, None] & real[:, None, :]
+            apart[:, np.arange(k), np.arange(k)] = False
+            row, col = np.nonzero(apart.any(axis=2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column(0))[row]), pa.array(nbr[row, col]), pa.array(met[row, col].astype(np.int16))], ["at", "id", "met"])
 
     return run
 
 
-def _remote(k: int):
-    """(home, id): list entries that live elsewhere, once a batch."""
+def _ranked(node: np.ndarray, sim: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by node, then similarity, then id; and the rank of each entry within its node."""
+    order = np.lexsort((other, -sim, node))
+    node = node[order]
+    begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, int)
+    return order, np.arange(len(node)) - np.repeat(begin, np.diff(np.r_[begin, len(node)]))
+
+
+def _meet(dims: int, k: int):
+    """The neighbours of a node that haven't met are compared; both learn of it if it may improve their list.
+
+    Rows are sorted by ``at``. Each task hands on at most the k best for a node, as lists of one entry.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index
-            own = np.repeat(np.asarray(b.column(at("at"))), k)
-            ids, homes = matrix(b.column(at("nbr")), k, "int64").ravel(), matrix(b.column(at("nhome")), k, "int32").ravel()
-            away = (homes != own) & (ids >= 0)
-            pairs = np.unique(np.stack([own[away].astype(np.int64), ids[away]], 1), axis=0) if away.any() else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1])], ["at", "id"])
+        for t in whole_groups(batches, "at"):
+            at, ids, worst = np.asarray(t["at"]), np.asarray(t["id"]), np.asarray(t["worst"])
+            met, x = np.asarray(t["met"]), matrix(t["vec"], dims, "float16").astype(np.float32)
+            begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            size = np.diff(np.r_[begin, len(at)])
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for lo in range(0, len(begin), 2048):
+                real = np.arange(k) < size[lo : lo + 2048, None]
+                slot = np.where(real, begin[lo : lo + 2048, None] + np.arange(k), 0)
+                rows = x[slot]
+                sims = np.matmul(rows, rows.transpose(0, 2, 1))
+                apart = ((met[slot][:, :, None] & met[slot][:, None, :]) == 0) & real[:, :, None] & real[:, None, :]
+                apart[:, np.arange(k), np.arange(k)] = False
+                g, i, j = np.nonzero(apart & (sims > worst[slot][:, :, None]))
+                out.append((ids[slot[g, i]], ids[slot[g, j]], sims[g, i, j]))
+            node, other, sim = (np.concatenate(o) for o in zip(*out))
+            once = np.lexsort((other, node))
+            node, other, sim = node[once], other[once], sim[once]
+            first = np.ones(len(node), bool)
+            first[1:] = (node[1:] != node[:-1]) | (other[1:] != other[:-1])
+            node, other, sim = node[first], other[first], sim[first]
+            order, rank = _ranked(node, sim, other)
+            order = order[rank < k]
+            if len(order):
+                yield pa.RecordBatch.from_arrays([pa.array(node[order]), binary(other[order, None]), binary(sim[order, None].astype(np.float32))], ["id", "nbr", "sim"])
 
     return run
 
 
-def _meet(dims: int, k: int):
-    """One round in a home: each node of it meets the neighbours of its neighbours.
+def _merge_lists(k: int):
+    """The k best distinct entries of each node; ``changed``: entries that its list didn't have before.
 
-    Rows: kind 0 own node, 1 node from elsewhere with its list, 2 vector from elsewhere.
+    Rows are sorted by id; those with ``met`` are the lists as they were, the others what a round found.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = gathered(batches)
-        if t is None:
-            return
-        for at in np.unique(np.asarray(t["at"])):
-            part = t.filter(pa.compute.equal(t["at"], int(at))).combine_chunks()
-            kinds, ids, homes = np.asarray(part["kind"]), np.asarray(part["id"]), np.asarray(part["home"])
-            order = np.lexsort((kinds, ids))
-            first = np.ones(len(order), bool)
-            first[1:] = ids[order][1:] != ids[order][:-1]
-            order = order[first]
-            kinds, ids, homes = kinds[order], ids[order], homes[order]
-            x = matrix(part["vec"], dims, "float16")[order].astype(np.float32)
-            listed = np.flatnonzero(kinds < 2)
-            width = {"nbr": (k, "int64"), "sim": (k, "float32")}
-            has = part.filter(pa.compute.less(part["kind"], 2)).combine_chunks()
-            back = {c: matrix(has[c], *w) for c, w in width.items()}
-            slot = np.searchsorted(np.asarray(has["id"]), ids[listed], sorter=(so := np.argsort(np.asarray(has["id"]), kind="stable")))
-            src = so[slot]
-            ext = np.full((len(ids) + 1, k), -1, np.int64)
-            got = np.minimum(np.searchsorted(ids, back["nbr"][src]), len(ids) - 1)
-            ext[listed] = np.where(ids[got] == back["nbr"][src], got, -1)
-            worst = np.full(len(ids), 9, np.float32)
-            worst[listed] = back["sim"][src][:, -1]
-            own = np.flatnonzero(kinds == 0)
-            outs: list[list[np.ndarray]] = []
-            for lo in range(0, len(own), 512):
-                u = own[lo : lo + 512]
-                cand = np.sort(np.hstack([ext[u], ext[ext[u]].reshape(len(u), -1)]), axis=1)
-                bad = (cand < 0) | (cand == u[:, None])
-                bad[:, 1:] |= cand[:, 1:] == cand[:, :-1]
-                sims = np.matmul(x[cand], x[u][:, :, None])[:, :, 0]
-                sims[bad] = -9
-                top = _top(sims, k)
-                best = np.take_along_axis(sims, top, 1)
-                mine = np.take_along_axis(cand, top, 1)
-                had = (mine[:, :, None] == ext[u][:, None, :]).any(axis=2)
-                outs.append([ids[u], ids[mine], homes[mine] + KNOWN * had, best])
-                # both sides learn of a meeting: the other node gets it as a one-entry list
-                rows, cols = np.nonzero(sims > worst[cand])
-                w = cand[rows, cols]
-                outs[-1] += [ids[w], ids[u][rows], homes[u][rows], sims[rows, cols]]
-            for node, nbr, nhome, sim, w, wn, wh, ws in outs:
-                yield pa.RecordBatch.from_arrays([pa.array(node), *_padded(nbr, nhome, sim, k)], ["id", "nbr", "nhome", "sim"])
-                if len(w):
-                    yield pa.RecordBatch.from_arrays([pa.array(w), binary(wn[:, None].astype(np.int64)), binary(wh[:, None].astype(np.int32)), binary(ws[:, None].astype(np.float32))], ["id", "nbr", "nhome", "sim"])
+        for t in whole_groups(batches, "id"):
+            ids, held = np.asarray(t["id"]), np.asarray(t["met"].is_valid())
+            at = np.flatnonzero(held)
+            rows = t.take(pa.array(at)).combine_chunks()
+            nbr, sim, met = matrix(rows["nbr"], k, "int64").copy(), matrix(rows["sim"], k, "float32").copy(), matrix(rows["met"], k, "uint8").copy()
+            met[nbr >= 0] |= JOINED
+            own, changed = ids[at], np.zeros(len(at), np.int32)
+            news = t.filter(pa.array(~held)).combine_chunks()
+            row = np.searchsorted(own, np.asarray(news["id"]))
+            other, new_sim = flat(news["nbr"], "int64")[0], flat(news["sim"], "float32")[0]
+            fresh = ~(nbr[row] == other[:, None]).any(axis=1)
+            row, other, new_sim = row[fresh], other[fresh], new_sim[fresh]
+            once = np.unique(np.stack([row, other], 1), axis=0, return_index=True)[1]
+            row, other, new_sim = row[once], other[once], new_sim[once]
+            order, rank = _ranked(row, new_sim, other)
+            row, other, new_sim = row[order][rank < k], other[order][rank < k], new_sim[order][rank < k]
+            touched, row = np.unique(row, return_inverse=True)
+            width = int(rank[rank < k].max()) + 1 if len(row) else 0
+            more_id, more_sim = np.full((len(touched), width), -1, np.int64), np.full((len(touched), width), -9, np.float32)
+            more_id[row, rank[rank < k]], more_sim[row, rank[rank < k]] = other, new_sim
+            every = [np.hstack(p) for p in ((nbr[touched], more_id), (sim[touched], more_sim), (met[touched], np.zeros(more_id.shape, np.uint8)))]
+            best = np.argsort(-every[1], axis=1, kind="stable")[:, :k]
+            nbr[touched], sim[touched], met[touched] = (np.take_along_axis(e, best, 1) for e in every)
+            changed[touched] = ((best >= k) & (nbr[touched] >= 0)).sum(axis=1)
+            cols = [pa.array(own), binary(nbr), binary(sim), binary(met), pa.array(sim[:, -1]), pa.array(changed)]
+            yield from sliced(pa.table(cols, ["id", "nbr", "sim", "met", "worst", "changed"]), 20000)
 
     return run
 
 
 class NeighbourGraph:
-    """The graph: ``nodes`` (id, home, vec), ``lists`` (id, nbr, nhome, sim) and ``copies`` (id, rep)."""
+    """The graph: ``nodes`` (id, vec), ``lists`` (id, nbr, sim) and ``copies`` (id, rep); ``rounds`` has the share of entries that each round changed."""
 
-    def __init__(self, stage: Stage, nodes: DataFrame, lists: DataFrame, copies: DataFrame | None, degree: int, dims: int, rounds: list[float]) -> None:
+    def __init__(self, stage: Stage, nodes: DataFrame, lists: DataFrame, copies: DataFrame, degree: int, dims: int, rounds: list[float]) -> None:
         self.stage, self.nodes, self.lists, self.copies, self.degree, self.dims, self.rounds = stage, nodes, lists, copies, degree, dims, rounds
 
-    def edges(self, k: int) -> DataFrame:
-        """(id, other, rank, sim): the k best neighbours of every node (of every class of copies)."""
+    def edges(self, k: int, least: float = -2.0) -> DataFrame:
+        """(id, other, sim, sure): the k best neighbours of every node (of every class of copies) from ``least`` on.
+
+        Half precision can't tell entries apart that lie within its error of the k-th; where the list
+        goes on there, all of them are given and ``sure`` is false. It is false as well within the
+        error of ``least``.
+        """
         degree = self.degree
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = b.schema.get_field_index
-                ids = np.repeat(np.asarray(b.column(at("id"))), k)
-                nbr, sim = matrix(b.column(at("nbr")), degree, "int64")[:, :k].ravel(), matrix(b.column(at("sim")), degree, "float32")[:, :k].ravel()
-                rank = np.tile(np.arange(1, k + 1, dtype=np.int32), b.num_rows)
-                real = nbr >= 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[real]), pa.array(nbr[real]), pa.array(rank[real]), pa.array(np.minimum(sim[real], 1.0).astype(np.float64))], ["id", "other", "rank", "sim"])
+                nbr, sim = matrix(b.column(1), degree, "int64"), matrix(b.column(2), degree, "float32")
+                last = sim[:, min(k, degree) - 1][:, None]
+                near = np.abs(sim - last) <= 2 * HALF_ERROR
+                open_ = near[:, k:].any(axis=1)[:, None] if k < degree else np.zeros((len(sim), 1), bool)
+                given = ((np.arange(degree) < k) | near & open_) & (nbr >= 0) & (sim >= least - HALF_ERROR)
+                sure = ~(near & open_) & (np.abs(sim - least) > HALF_ERROR)
+                row, col = np.nonzero(given)
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column(0))[row]), pa.array(nbr[row, col]), pa.array(np.minimum(sim[row, col], 1.0).astype(np.float64)), pa.array(sure[row, col])], ["id", "other", "sim", "sure"])
 
-        return self.lists.select("id", "nbr", "sim").mapInArrow(run, "id long, other long, rank int, sim double")
+        return self.lists.select("id", "nbr", "sim").mapInArrow(run, "id long, other long, sim double, sure boolean")
 
 
-def most_similar(graph: NeighbourGraph, k: int = 5, least: float | None = None) -> DataFrame:
+def _cosines(dims: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = matrix(b.column(2), dims, "float64"), matrix(b.column(3), dims, "float64")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y))], ["id", "other", "sim"])
+
+    return run
+
+
+def _settled(graph: NeighbourGraph, stored: DataFrame, k: int, least: float) -> DataFrame:
+    """(id, other, sim): the edges, with exact similarities where half precision doesn't decide.
+
+    ``stored``: (id, vec, full), the vectors in full; of rows with one id, that of the graph counts.
+    """
+    edges = graph.stage.write(graph.edges(k, least), "edges")
+    unsure = edges.filter(~F.col("sure")).select("id", "other")
+    wanted = graph.stage.write(unsure.select(F.explode(F.array("id", "other")).alias("id")).distinct(), "wanted")
+    known = graph.nodes.join(_small(wanted), "id", "left_semi")
+    full = stored.join(_small(wanted), "id", "left_semi").join(known, ["id", "vec"], "left_semi").groupBy("id").agg(F.min("full").alias("full"))
+    full = graph.stage.write(full, "full")
+    pairs = unsure.join(full, "id").join(full.select(F.col("id").alias("other"), F.col("full").alias("full2")), "other").select("id", "other", "full", "full2")
+    return edges.filter("sure").select("id", "other", "sim").unionByName(pairs.mapInArrow(_cosines(graph.dims), "id long, other long, sim double"))
+
+
+def most_similar(graph: NeighbourGraph, k: int = 5, least: float | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(id, other, rank, sim): the k most similar other vectors of every vector, largest first, ties by id.
 
     Copies take their part: each is a neighbour of the others, and of all to which its class is near.
     A class hands on its k + 1 smallest ids, which is all that a list of k can hold. With ``least``,
-    only entries of at least that similarity.
+    only entries of at least that similarity. With ``stored`` (``usable_vectors`` with ``exact``), what
+    half precision can't decide is decided on the vectors in full.
     """
-    best = graph.edges(graph.degree if least is None else k).select("id", "other", "sim")
-    best = best if least is None else best.filter(F.col("sim") >= least)
+    low = -2.0 if least is None else least
+    best = graph.edges(graph.degree, low).select("id", "other", "sim") if stored is None else _settled(graph, stored, k, low)
+    best = best.filter(F.col("sim") >= low)
+    sizes = graph.copies.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     members = _members(graph.copies, k)
     spread = _spread(best, members)
     within = members.select(F.col("rep").alias("id"), F.explode("members").alias("other"), F.lit(1.0).alias("sim"))
     ranked = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     by_class = spread.unionByName(within).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k + 1)
     single = by_class.join(members.select(F.col("rep").alias("id")), "id", "left_anti").filter(F.col("rank") <= k)
-    copied = by_class.withColumnRenamed("id", "rep").join(graph.copies, "rep").filter("id <> other").withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
-    return single.select("id", "other", "rank", "sim").unionByName(copied.select("id", "other", "rank", "sim"))
+    # a class has one list, whatever its size; its members take it and leave themselves out
+    lists = by_class.join(sizes.withColumnRenamed("rep", "id"), "id").groupBy(F.col("id").alias("rep")).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "other", "sim"))).alias("list"))
+    copied = join_on_hot_key(graph.copies, lists, "rep", CHECK_ROWS, "n")
+    others = F.slice(F.filter("list", lambda e: e["other"] != F.col("id")), 1, k)
+    copied = copied.select("id", F.posexplode(others).alias("at", "e")).select("id", "e.other", (F.col("at") + 1).alias("rank"), "e.sim")
+    return single.select("id", "other", "rank", "sim").unionByName(copied)
 
 
 def _members(copies: DataFrame, k: int) -> DataFrame:
@@ -394,117 +476,106 @@ def greedy_search(graph: NeighbourGraph, queries: DataFrame, k: int = 5, id_col:
     return top.select(F.col("id").alias("query"), F.col("other").alias("id"), "rank", F.least("sim", F.lit(1.0)).alias("sim"))
 
 
-#: Unit vectors in float16 give cosines within this of the exact ones.
-HALF_ERROR = 5e-4
-
-
 def similar_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64, k: int = 5, least: float = 0.90, **params) -> DataFrame:
     """(vec_lo, vec_hi): pairs with cosine >= ``least`` of which one is among the k most similar of the other.
 
-    The pairs come from the neighbour graph; those within the error of the graph's half-precision
-    vectors of ``least`` are checked against the vectors as stored.
+    The pairs come from the neighbour graph; what its half-precision vectors can't decide, at the line
+    or at the k-th place, is decided on the vectors as stored.
     """
     graph = build_graph(df, id_col, vec_col, dims, **params)
-    near = most_similar(graph, k, least - HALF_ERROR)
-    pairs = near.groupBy(F.least("id", "other").alias("vec_lo"), F.greatest("id", "other").alias("vec_hi")).agg(F.max("sim").alias("sim"))
-    pairs = graph.stage.write(pairs, "pairs")
-    sure = pairs.filter(F.col("sim") > least + HALF_ERROR).select("vec_lo", "vec_hi")
-    unsure = pairs.filter(F.col("sim") <= least + HALF_ERROR)
-    wanted = unsure.select(F.explode(F.array("vec_lo", "vec_hi")).alias("id")).distinct()
-    stored = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    stored = stored.join(_small(wanted), "id", "left_semi").dropDuplicates(["id"])
-    unit = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))
-    stored = stored.select("id", unit.alias("v")).select("id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("len"))
-    lo, hi = (stored.select(F.col("id").alias(f"vec_{s}"), F.col("v").alias(f"v_{s}"), F.col("len").alias(f"len_{s}")) for s in ("lo", "hi"))
-    dot = F.aggregate(F.zip_with("v_lo", "v_hi", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    kept = unsure.join(lo, "vec_lo").join(hi, "vec_hi").filter(dot / (F.col("len_lo") * F.col("len_hi")) >= least).select("vec_lo", "vec_hi")
-    return sure.unionByName(kept)
+    near = most_similar(graph, k, least, usable_vectors(df, id_col, vec_col, dims, exact=True))
+    return near.select(F.least("id", "other").alias("vec_lo"), F.greatest("id", "other").alias("vec_hi")).distinct()
 
 
 def _decode(rows: list, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), np.float16).reshape(len(rows), dims).astype(np.float32)
 
 
-def _first_lists(stage: Stage, nodes: DataFrame, ordered, orders: int, homes: int, dims: int, degree: int, block_rows: int, merged: str) -> DataFrame:
-    """The best entries of the blocks of all orders."""
-    # the files of the first order keep its rows together, so they are read as they were written
-    rows = [nodes, *(ordered(nodes, n).select("id", "home", "vec") for n in range(1, orders))]
-    lists = [r.mapInArrow(_block_lists(dims, degree, block_rows), f"id long, {_LISTS}") for r in rows]
-    return stage.write(reduce(DataFrame.unionByName, lists).repartition(homes, "id").mapInArrow(_merge_lists(degree), merged), "lists")
-
-
-def _round(stage: Stage, graph: DataFrame, nodes: DataFrame, homes: int, dims: int, degree: int, merged: str) -> DataFrame:
-    """The lists after every node has met the neighbours of its neighbours."""
-    full = graph.select("id", "nbr", "nhome", "sim").join(nodes, "id")
-    near = full.select(F.col("home").alias("at"), "nbr", "nhome").mapInArrow(_remote(degree), "at int, id long").distinct()
-    with_lists = near.join(full, "id")
-    far = with_lists.select("at", "nbr", "nhome").mapInArrow(_remote(degree), "at int, id long").distinct().join(near, ["at", "id"], "left_anti").join(nodes, "id")
-    cols = ["at", "kind", "id", "home", "vec", "nbr", "sim"]
-    nothing = F.lit(None).cast("binary")
-    world = (
-        full.withColumn("at", F.col("home")).withColumn("kind", F.lit(0)).select(cols)
-        .unionByName(with_lists.withColumn("kind", F.lit(1)).select(cols))
-        .unionByName(far.withColumn("kind", F.lit(2)).withColumn("nbr", nothing).withColumn("sim", nothing).select(cols))
-    )
-    # a node's new list comes from its home and holds the old one, so the old lists needn't move again
-    met = world.repartitionById(homes, "at").mapInArrow(_meet(dims, degree), f"id long, {_LISTS}")
-    return stage.write(met.repartition(homes, "id").mapInArrow(_merge_lists(degree), merged), "lists")
-
-
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast if it has at most ``CHECK_ROWS`` rows, which is counted; joined by a shuffle beyond."""
     return F.broadcast(df) if df.count() <= CHECK_ROWS else df
 
 
-def build_graph(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64, degree: int = DEGREE, orders: int = 4, max_rounds: int = 8, seed: int = 7, block_rows: int = BLOCK_ROWS, home_rows: int = HOME_ROWS) -> NeighbourGraph:
+def _sampled(nodes: DataFrame, total: int, rows: int, seed: int) -> DataFrame:
+    """About ``rows`` nodes (all, if there are no more), told by a hash of the id."""
+    steps = 1 << 40
+    return nodes if total <= rows else nodes.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(steps)) < int(steps * rows / total))
+
+
+def _distinct_nodes(stage: Stage, usable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, vec), one for each vector, and copies (id, rep): the ids of vectors that have several.
+
+    Repeated rows of an id count once; of different vectors under one id that with the smallest hash counts.
+    """
+    raw = stage.write(usable.withColumn("h", F.xxhash64("vec")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    strays = stage.write(raw.groupBy("id").agg(F.min("h").alias("own"), F.max("h").alias("last")).filter("own <> last").select("id", "own"), "strays")
+    kept = raw if strays.isEmpty() else raw.join(_small(strays), "id", "left").filter("own is null or h = own").drop("own")
+    # copies are looked for by hash; vectors move only where a hash occurs twice
+    twice = stage.write(kept.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+    alike = kept.join(_small(twice.select("h")), "h")
+    classes = alike.groupBy("h", "vec").agg(F.min(F.struct("id", "row")).alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    classes = stage.write(classes.select("h", "vec", F.col("first.id").alias("rep"), F.col("first.row").alias("own"), "last"), "classes")
+    marked = stage.write(alike.join(_small(classes), ["h", "vec"]).select("id", "row", "rep", "own", "last"), "alike")
+    copies = stage.write(marked.filter("rep <> last").select("id", "rep").distinct(), "copies")
+    nodes = stage.write(kept.join(_small(marked.filter("row <> own").select("row")), "row", "left_anti").select("id", "vec"), "nodes")
+    stage.drop(raw, strays, twice, classes, marked)
+    return nodes, copies
+
+
+def _round(stage: Stage, nodes: DataFrame, lists: DataFrame, dims: int, degree: int, shape: str) -> DataFrame:
+    """The lists after the neighbours of every node have met."""
+    asked = lists.select("id", "nbr", "met").mapInArrow(_waiting(degree), "at long, id long, met short")
+    known = nodes.join(lists.select("id", "worst"), "id")
+    got = asked.join(known, "id").select("at", "id", "met", "worst", "vec").repartition("at").sortWithinPartitions("at")
+    found = got.mapInArrow(_meet(dims, degree), "id long, nbr binary, sim binary")
+    both = lists.select("id", "nbr", "sim", "met").unionByName(found.withColumn("met", F.lit(None).cast("binary")))
+    return stage.write(both.repartition("id").sortWithinPartitions("id").mapInArrow(_merge_lists(degree), shape), "lists")
+
+
+def build_graph(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64, degree: int = DEGREE, orders: int = 5, max_rounds: int = 30, seed: int = 7, block_rows: int = BLOCK_ROWS, home_rows: int = HOME_ROWS) -> NeighbourGraph:
     """Builds the neighbour graph of all usable vectors by NN-descent.
 
     Repeated ids count once. Nulls and unusable vectors take no part (``usable_vectors``); an empty
-    table or a single vector gives empty lists; vectors equal to float16 precision are one node.
+    table or a single vector gives empty lists; vectors equal to float16 precision are one node. Rounds
+    go on until fewer than ``LEAST_CHANGE`` of the entries change; should ``max_rounds`` not suffice, it raises.
     """
+    if not 1 <= orders <= 7:
+        raise ValueError("orders must be from 1 to 7")
     spark: SparkSession = df.sparkSession
     stage = Stage(spark, "neighbours")
-    raw = stage.write(usable_vectors(df, id_col, vec_col, dims).groupBy("id").agg(F.first("vec").alias("vec")).withColumn("h", F.xxhash64("vec")), "vectors")
-    # copies are looked for by hash; vectors move only where a hash occurs twice
-    twice = stage.write(raw.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "twice")
-    alike = raw.join(_small(twice), "h")
-    classes = alike.groupBy("h", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "vec", "rep")
-    copies = stage.write(alike.join(_small(stage.write(classes, "classes")), ["h", "vec"]).select("id", "rep"), "copies")
-    base = raw.select("id", "vec").join(_small(copies.filter("id <> rep").select("id")), "id", "left_anti")
-
-    total = raw.count() - copies.filter("id <> rep").count()  # the nodes: one for each class of copies
-    sample = base.withColumn("_o", F.xxhash64("id", F.lit(seed))).orderBy("_o", "id").limit(SAMPLE_ROWS).select("id", "vec").collect()
-    points = _decode(sample, dims) if sample else np.zeros((1, dims), np.float32)
-    point_ids = np.array([r["id"] for r in sample] or [0], np.int64)
+    nodes, copies = _distinct_nodes(stage, usable_vectors(df, id_col, vec_col, dims))
+    total = nodes.count()
+    # as many parts as the cluster has use for, but none smaller than a block, and none larger than home_rows
+    parts = max(1, min(shuffle_partitions(spark), total // block_rows), -(-total // home_rows))
+
+    fitted = _sampled(nodes, total, 2 * SAMPLE_ROWS, seed).withColumn("_o", F.xxhash64("id", F.lit(seed + 1))).orderBy("_o", "id").limit(SAMPLE_ROWS).select("vec").collect()
+    points = _decode(fitted, dims) if fitted else np.zeros((1, dims), np.float32)
     rng = np.random.default_rng(seed)
-    # as many homes as the cluster has use for, but none smaller than a block, and none larger than home_rows
-    homes = max(1, min(shuffle_partitions(spark), total // block_rows), -(-total // home_rows))
-
-    def ordered(nodes: DataFrame, n: int) -> DataFrame:
-        """The nodes in the n-th sort order; parts of equal size are told from the sample while it has 64 rows for each."""
-        cents = _centroids(points, CENTROIDS, seed + n)
-        planes = rng.standard_normal((14, dims)).astype(np.float32)
-        told = homes <= max(1, len(sample) // 64)
-        keys = np.sort(_keys(points, point_ids, cents, planes))
-        bounds = keys[[len(keys) * i // homes for i in range(1, homes)]] if told else keys[:0]
-        keyed = nodes.mapInArrow(_with_key(dims, cents, planes, bounds, nodes.columns), T.StructType([*nodes.schema.fields, T.StructField("key", T.LongType()), T.StructField("part", T.IntegerType())]))
-        parted = keyed.repartitionById(homes, "part") if told else keyed.repartitionByRange(homes, "key", "id")
-        return parted.sortWithinPartitions("key", "id")
-
-    nodes = stage.write(ordered(base, 0).withColumn("home", F.spark_partition_id()).select("id", "home", "vec"), "nodes")
-    stage.drop(raw)
-    merged = "id long, " + _LISTS + ", changed int"
-    graph = _first_lists(stage, nodes, ordered, orders, homes, dims, degree, block_rows, merged)
-    stage.release()
+    made = [_Order(_centroids(points, CENTROIDS, seed + n), rng.standard_normal((14, dims)).astype(np.float32), np.zeros(0, np.int64)) for n in range(orders)]
+    told = _sampled(nodes, total, BOUND_ROWS * parts, seed + 2).mapInArrow(_all_keys(dims, made), "keys binary").collect() if parts > 1 else []
+    keys = np.sort(np.frombuffer(b"".join(bytes(r["keys"]) for r in told), np.int64).reshape(-1, orders), axis=0)
+    for n, order in enumerate(made):
+        order.bounds = keys[[len(keys) * i // parts for i in range(1, parts)], n] if len(keys) else keys[:0, 0]
+
+    shape = f"id long, {_LISTS}, worst float, changed int"
+    rows, staged = nodes.mapInArrow(_placed(dims, made[0]), "id long, vec binary, key long, part int"), None
+    for n in range(orders):
+        following = made[n + 1] if n + 1 < orders else None
+        laid = rows.repartitionById(parts, "part").sortWithinPartitions("key", "id")
+        rows = laid.mapInArrow(_block_lists(dims, degree, block_rows, 1 << n, following, bool(following)), f"id long, vec binary, {_LISTS}, key long, part int" if following else shape)
+        if n % 2 or not following:
+            # written after every second order, which bounds what a lost executor costs and what is on disk at once
+            after = stage.write(rows, "lists")
+            stage.drop(staged)
+            rows = staged = after
+    lists = staged
 
     rounds: list[float] = []
-    for _ in range(max_rounds):
-        after = _round(stage, graph, nodes, homes, dims, degree, merged)
-        stage.drop(graph)
-        graph = after
-        share = (graph.agg(F.sum("changed")).first()[0] or 0) / max(1, degree * total)
-        rounds.append(share)
-        stage.release()
-        if share < LEAST_CHANGE:
-            break
-    return NeighbourGraph(stage, nodes, graph.drop("changed"), copies, degree, dims, rounds)
+    while not rounds or rounds[-1] >= LEAST_CHANGE:
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"the lists did not settle in {max_rounds} rounds: shares of changed entries {rounds}")
+        after = _round(stage, nodes, lists, dims, degree, shape)
+        stage.drop(lists)
+        lists = after
+        rounds.append((lists.agg(F.sum("changed")).first()[0] or 0) / max(1, degree * total))
+    return NeighbourGraph(stage, nodes, lists.drop("changed", "worst"), copies, degree, dims, rounds)
