@@ -563,11 +563,10 @@ def build_graph(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         following = made[n + 1] if n + 1 < orders else None
         laid = rows.repartitionById(parts, "part").sortWithinPartitions("key", "id")
         rows = laid.mapInArrow(_block_lists(dims, degree, block_rows, 1 << n, following, bool(following)), f"id long, vec binary, {_LISTS}, key long, part int" if following else shape)
-        if n % 2 or not following:
-            # written after every second order, which bounds what a lost executor costs and what is on disk at once
-            after = stage.write(rows, "lists")
-            stage.drop(staged)
-            rows = staged = after
+        # each order is written, which bounds what a lost executor costs and what is on disk at once
+        after = stage.write(rows, "lists")
+        stage.drop(staged)
+        rows = staged = after
     lists = staged
 
     rounds: list[float] = []
