@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,33 +12,50 @@ from pyspark.sql import functions as F
 from querent.llm.tokens import VOCABULARY, encode
 from querent.plans.skew import global_rank
 from querent.plans.staging import Stage
+from querent.plans.workers import ship
 
-#: Tokens that are left for the exact fit; the sizes taken before follow the source's own distribution.
-EXACT = 1 << 16
+#: Most tokens that are left for the exact fit, unless a single text is longer; and how many of the longest text that is at most.
+EXACT, LONGEST = 1 << 16, 8
 
 
-def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
+def _spread_shares(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """Texts of each length in proportion to ``budget``; what a length gives too little, the next length makes up.
+
+    The fractions are carried on from length to length in tokens, so the sum stays within one text of
+    the budget and texts of all lengths are taken as often as they occur.
+    """
+    available = sum(n * c for n, c in counts.items())
+    take, owed = {}, 0
+    for n in sorted(n for n in counts if n > 0):
+        owed += n * counts[n] * budget
+        take[n] = min(counts[n], owed // (n * available))
+        owed -= take[n] * n * available
+    return take
+
+
+def fit_budget(counts: dict[int, int], budget: int, seed: int = 3) -> dict[int, int]:
     """How many texts of each length to take so that their sum is as near below ``budget`` as it can be.
 
-    Each length first gives its proportional share; what is left beyond ``EXACT`` is filled from the
-    longest on; the rest by a bounded-knapsack table of reachable sums (bits of an integer), whose
-    layers tell which copies were taken.
+    The larger part of a budget is taken in proportion to the lengths as they occur. What is left, a
+    few times the longest text, is fitted by a bounded-knapsack table of reachable sums (bits of an
+    integer), to which the lengths come in a seeded order; its layers tell which copies were taken.
+    Budgets below that are left to the table, but for the whole share of each length.
     """
     available = sum(n * c for n, c in counts.items())
     if budget >= available:
         return dict(counts)
-    take = {n: c * max(0, budget) // available for n, c in counts.items()} if available else {}
+    if budget <= 0:
+        return {}
+    left = min(EXACT, LONGEST * max(counts))
+    take = {n: c * budget // available for n, c in counts.items() if n > 0}
+    if budget > left:
+        take = _spread_shares(counts, budget - left)
     rest = budget - sum(n * c for n, c in take.items())
     spare = {n: c - take[n] for n, c in counts.items() if n > 0}
-    for n in sorted(spare, reverse=True):
-        if rest <= EXACT:
-            break
-        more = min(spare[n], (rest - EXACT) // n if rest - EXACT >= n else 0)
-        take[n], spare[n], rest = take[n] + more, spare[n] - more, rest - more * n
     full = (1 << (rest + 1)) - 1
     layers: list[tuple[int, int, int]] = []
     reach = 1
-    for n in sorted((n for n in spare if 0 < n <= rest), reverse=True):
+    for n in sorted((n for n in spare if 0 < n <= rest), key=lambda n: sha256(f"{seed} {n}".encode()).digest()):
         left, part = min(spare[n], rest // n), 1
         while left:
             part = min(part, left)
@@ -89,7 +107,7 @@ def mix_sources(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_
 
     given = df.select(F.col(id_col).alias("doc"), name(source_col).alias("source"), F.sha2(F.col(text_col), 256).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     given = given.filter(F.col("doc").isNotNull() & F.col("source").isin(list(wanted)) & F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
-    sized = given.mapInArrow(_sizes(vocabulary), f"doc {kind}, source string, text_key string, tokens long")
+    sized = given.mapInArrow(_sizes(ship(spark, vocabulary)), f"doc {kind}, source string, text_key string, tokens long")
     texts = sized.groupBy("text_key").agg(F.min(F.struct("doc", "source", "tokens")).alias("x")).select("x.*")
     texts = stage.write(texts.withColumn("order", F.xxhash64("doc", F.lit(seed))), "texts")
 
@@ -103,7 +121,7 @@ def mix_sources(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_
     for s, (share, repeats) in sorted(wanted.items()):
         budget = int(round(total * share / whole))
         rounds = min(repeats, budget // held[s]) if held[s] else 0
-        extra = fit_budget(counts.get(s, {}), budget - rounds * held[s]) if held[s] and rounds < repeats else {}
+        extra = fit_budget(counts.get(s, {}), budget - rounds * held[s], seed) if held[s] and rounds < repeats else {}
         plan += [(s, n, rounds, extra.get(n, 0)) for n in counts.get(s, {})]
         reached[s] = (share / whole, budget, held[s], repeats, rounds * held[s] + sum(n * c for n, c in extra.items()))
     table = spark.createDataFrame(plan, "source string, tokens bigint, rounds bigint, extra bigint")

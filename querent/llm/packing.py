@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +19,15 @@ from pyspark.sql import functions as F
 
 from querent.llm.tokens import VOCABULARY, encode
 from querent.plans.staging import Stage
+from querent.plans.workers import once, ship
 
 DIMENSIONS, BITS = 3, 10
 #: Items that are packed together, and containers that stay open for the next window.
 WINDOW, OPEN = 4096, 1024
 
 
-@cache
 def _directions(size: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((size, DIMENSIONS)).astype(np.float32)
+    return once(("directions", size, seed), lambda: np.random.default_rng(seed).standard_normal((size, DIMENSIONS)).astype(np.float32))
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -139,7 +138,7 @@ def measured_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc, tokens, place): token count and place on the curve of every text that isn't null or empty."""
     kind = df.schema[id_col].dataType.simpleString()
     given = df.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("text is not null and text <> ''")
-    return given.mapInArrow(_measure(vocabulary, seed), f"doc {kind}, tokens long, place long")
+    return given.mapInArrow(_measure(ship(df.sparkSession, vocabulary), seed), f"doc {kind}, tokens long, place long")
 
 
 def pack_texts(df: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -7,7 +7,6 @@ import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,18 +14,22 @@ from pyspark.sql import functions as F
 
 from querent.plans.skew import join_on_hot_key
 from querent.plans.staging import Stage
+from querent.plans.workers import once
 
 K1, B = 1.2, 0.75
 LATIN_RUN = "[a-zß-öø-ɏ]{4,}"
 
 
-@cache
-def format_characters() -> re.Pattern:
-    """The characters of category Cf of this Python's Unicode version."""
+def _format_pattern() -> re.Pattern:
     chars = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"]
     return re.compile("[" + "".join(map(re.escape, chars)) + "]")
 
 
+def format_characters() -> re.Pattern:
+    """The characters of category Cf of this Python's Unicode version."""
+    return once(("format characters",), _format_pattern)
+
+
 def folded(text: str) -> str:
     """NFKC, without format characters, in lower case."""
     return text.lower() if text.isascii() else format_characters().sub("", unicodedata.normalize("NFKC", text)).lower()

@@ -76,3 +76,25 @@ def test_nulls_blanks_repeats_and_long(spark):
     got = Z.sentences(frame(spark, rows, S)).collect()
     assert sorted(((r[0] is None, r[0] or 0, *r[1:]) for r in got)) == sorted([(True, 0, 0, 6), *[(False, 4, 0, 6), (False, 4, 7, 11)] * 2, (False, 5, 0, 299_999), (False, 6, 4, 8)])
     assert Z.sentences(frame(spark, [], S)).count() == 0
+
+
+def test_rows_do_not_depend_on_chunks_with_unclosed_marks(spark):
+    rng = random.Random(4)
+    parts = ["He said “never closed. ", "«нет. ", "(open. And ", "closed) here. ", "end.” ", "「開く。", "。」", '"Half. ', 'said" once. ', "Plain one. ", "\n\n", "\n- item. x\n", "!!!", "1. ", " " * 40, "ห้าม วาง ", "word "]
+    docs = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(5, 400))), "c", 1, "c") for i in range(12)]
+    docs += [(50, "“Open. " + "Still in it. " * 400 + "\n\nNew block. " + "More. " * 300, "c", 1, "c"), (51, "A b." + " " * 5000 + "C d.\n" + " " * 3000 + "\n" + "." * 3000 + " E" + "!" * 700 + ")" * 90 + " F.", "c", 1, "c")]
+    whole = tuples(Z.sentences(frame(spark, docs, S)))
+    assert len(whole) > 500
+    for size in (64, 900, 4097):
+        assert tuples(Z.sentences(frame(spark, docs, S), chunk_chars=size)) == whole
+
+
+def test_the_table_has_a_rule_for_every_state_and_class():
+    assert len(Z.TABLE) == Z.STATES and {len(r) for r in Z.TABLE} == {Z.CLASSES}
+    assert all(0 <= x < 3 * Z.STATES for r in Z.TABLE for x in r)
+
+
+def test_more_chunks_than_one_level_of_the_scan(spark):
+    text = ("“Open. " + "In it. " * 30 + "Closed.” After. " + "\n\n" * 2 + "Next one. ") * 90
+    whole = tuples(Z.sentences(frame(spark, [(1, text, "c", 1, "c")], S)))
+    assert len(text) // 32 > 2 * Z.FAN and tuples(Z.sentences(frame(spark, [(1, text, "c", 1, "c")], S), chunk_chars=32)) == whole
