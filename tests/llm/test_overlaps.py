@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from querent.llm import overlaps as O
 
 from .helpers import frame, tuples
@@ -55,3 +57,39 @@ def test_empty_and_very_long(spark):
     long = " ".join(f"w{i}" for i in range(20_000))
     rows = [("a", long, "train", None, None, None), ("b", long + " more", "test", None, None, None)]
     assert tuples(O.overlapping_ids(frame(spark, rows, S))) == [("a", "b")]
+
+
+def test_winnowing_keeps_a_minimum_of_every_window():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 50, 300).astype(np.uint64)
+    owner = np.sort(rng.integers(0, 40, 300))
+    kept = set(O.winnowed(hashes, owner, 4).tolist())
+    for o in np.unique(owner):
+        at = np.flatnonzero(owner == o)
+        for lo in range(max(1, len(at) - 3)):
+            window = at[lo : lo + 4]
+            assert {i for i in window if hashes[i] == hashes[window].min()} & kept
+    assert len(kept) < 250
+
+
+def test_alignment_chains_rising_seeds():
+    a, b = "p q one two three x four five six".split(), "one two three four five six r".split()
+    assert O.align(a, b, [(2, 0), (6, 3)]) == 6 and O.align(a, b, [(2, 3), (6, 0)]) == 0
+    assert O.align(a, a, [(i, i) for i in range(7)]) == len(a) and O.align(a, b, []) == 0
+
+
+def test_fingerprints_find_pairs_before_the_filter(spark):
+    rows = [(f"t{i}", f"alpha beta gamma delta epsilon zeta eta theta n{i}", "train", None, None, None) for i in range(5)]
+    rows += [("d", "alpha beta gamma delta epsilon zeta eta theta", "dev", None, None, None), ("e", "theta eta zeta alpha gamma epsilon beta delta", "test", None, None, None)]
+    pairs, _ = O.cross_split_pairs(frame(spark, rows, S))
+    got = sorted((r["shared"], r["words"], r["covered"]) for r in pairs.collect())
+    # d and e have the same words: their class is aligned by the text that is first in order
+    assert got == [(8, 9, 8)] * 5
+
+
+def test_a_phrase_of_all_records_joins_nothing_by_itself(spark):
+    rows = [(f"q{i:03}", f"where do we keep the old w{i % 90} x{i} y{i}", "train" if i % 2 else "test", None, None, None) for i in range(300)]
+    assert tuples(O.overlapping_ids(frame(spark, rows, S))) == brute(rows)
+    again = ["word " * 30_000, "word " * 29_000 + "more"]
+    got = O.overlap_report(frame(spark, [("a", again[0], "train", None, None, None), ("b", again[1], "test", None, None, None)], S)).collect()
+    assert [(r["records"], r["overlapping"]) for r in got] == [(1, 0)]
