@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Values of a section of a compactor: the larger, the smaller the error.
 SECTION = 64
-#: Merging first joins the sketches of this many groups of partitions.
+#: Merging first joins the sketches of this many partitions.
 FAN = 32
 
 
@@ -145,7 +145,7 @@ def build_sketches(df: DataFrame, by: list[str], fields: list[str], ceiling: flo
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, RankSketch] = {}
-        salt = TaskContext.get().partitionId() % FAN
+        salt = TaskContext.get().partitionId() // FAN
         for b in batches:
             if not b.num_rows:
                 continue
@@ -177,20 +177,51 @@ def build_sketches(df: DataFrame, by: list[str], fields: list[str], ceiling: flo
     return merged.select(*back, "field", "n", "sketch")
 
 
-def merge_sketches(df: DataFrame, by: list[str], sketch: str = "sketch") -> DataFrame:
-    """(by..., n, sketch): merges the sketches of each group, such as those of several days or runs."""
-    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+def _merged(width: int):
+    """Merges the sketches of consecutive rows with the same first ``width`` columns; the last column is the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, whole, head, schema = None, None, None, None
+
+        def done() -> pa.RecordBatch:
+            names = [*schema.names[:width], "n", "sketch"]
+            return pa.RecordBatch.from_arrays([*head, pa.array([whole.count], pa.int64()), pa.array([whole.to_bytes()], pa.binary())], names)
+
+        ready: list[pa.RecordBatch] = []
+        for b in batches:
+            schema = b.schema
+            keys = list(zip(*(c.to_pylist() for c in b.columns[:width]))) if width else [()] * b.num_rows
+            for i, (key, data) in enumerate(zip(keys, b.column(width).to_pylist())):
+                part = RankSketch.from_bytes(data)
+                if key == now and whole is not None:
+                    whole.merge(part)
+                    continue
+                if whole is not None:
+                    ready.append(done())
+                now, whole, head = key, part, [c.slice(i, 1) for c in b.columns[:width]]
+                if len(ready) >= 256:
+                    yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                    ready = []
+        if whole is not None:
+            ready.append(done())
+        if ready:
+            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+
+    return run
+
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [RankSketch.from_bytes(bytes(x)) for x in pdf["_sketch"] if x is not None]
-        parts.sort(key=lambda s: (s.count, s.low, s.high))
-        whole = RankSketch(parts[0].section if parts else SECTION)
-        for s in parts:
-            whole.merge(s)
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), whole.count, whole.to_bytes()]], columns=[*by, "n", "sketch"])
+def merge_sketches(df: DataFrame, by: list[str], sketch: str = "sketch") -> DataFrame:
+    """(by..., n, sketch): merges the sketches of each group, such as those of several days or runs.
 
+    Each group's sketches are merged one after the other, in the order of their bytes, so that a task
+    holds one of them. Null sketches take no part; null keys are a group of their own; an empty table
+    gives no rows.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    given = df.select(*by, F.col(sketch).alias("_sketch")).filter(F.col("_sketch").isNotNull())
+    laid = (given.repartition(*by) if by else given.repartition(1)).sortWithinPartitions(*by, "_sketch")
     schema = ", ".join(f"`{c}` {fields[c]}" for c in by) + (", " if by else "") + "n bigint, sketch binary"
-    return df.select(*by, F.col(sketch).alias("_sketch")).groupBy(*by).applyInPandas(merge, schema)
+    return laid.mapInArrow(_merged(len(by)), schema)
 
 
 def sketch_quantiles(df: DataFrame, shares: list[float], sketch: str = "sketch") -> DataFrame:

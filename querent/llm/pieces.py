@@ -106,29 +106,31 @@ def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[lis
 def _rows(limit: int, overlap: int, runs: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out = []
+            for text in batch.column(2).to_pylist():
                 pieces, unbroken = cut_text(text, limit, overlap)
                 if runs:
+                    pieces = []
                     for a, b in unbroken:
                         # the part's boundary characters, if any, are at its edges
                         own = text[a:b]
                         bare = own.lstrip(BOUNDARY_CHARS)
                         start = a + len(own) - len(bare)
-                        out.append((start, start + len(bare.rstrip(BOUNDARY_CHARS)), True))
-                        ids.append(i)
-                else:
-                    out += pieces
-                    ids += [i] * len(pieces)
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.bool_())], ["parent_id", "start", "end", "hard"])
+                        pieces.append((start, start + len(bare.rstrip(BOUNDARY_CHARS)), True))
+                out.append([{"start": a, "end": b, "hard": hard} for a, b, hard in pieces])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("hard", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["parent_id", "h", "pieces"])
 
     return run
 
 
-def _oversized(df: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
-    given = df.select(F.col(id_col).alias("parent_id"), F.col(text_col).cast("string").alias("text")).filter((F.length("text") > limit) & F.col("parent_id").isNotNull())
-    return given.groupBy("parent_id").agg(F.min("text").alias("text"))
+def _cut(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: int, runs: bool) -> DataFrame:
+    """(parent_id, start, end, hard): every row is cut where it lies; of the rows of one id the text with the smallest hash counts."""
+    kind = df.schema[id_col].dataType.simpleString()
+    given = df.select(F.col(id_col).alias("parent_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text")).filter((F.length("text") > limit) & F.col("parent_id").isNotNull())
+    made = given.mapInArrow(_rows(limit, overlap, runs), f"parent_id {kind}, h long, pieces array<struct<start:bigint,`end`:bigint,hard:boolean>>")
+    one = made.groupBy("parent_id").agg(F.min(F.struct("h", "pieces")).alias("x"))
+    return one.select("parent_id", F.explode("x.pieces").alias("p")).select("parent_id", "p.start", "p.end", "p.hard")
 
 
 def split_oversized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -139,12 +141,10 @@ def split_oversized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     boundary because there was none. Repeated rows of an id count once; null ids, null texts and texts
     within the limit give no rows, and so does an empty table.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    return _oversized(df, id_col, text_col, limit).mapInArrow(_rows(limit, overlap, False), f"parent_id {kind}, start long, end long, hard boolean")
+    return _cut(df, id_col, text_col, limit, overlap, False)
 
 
 def unbroken_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(parent_id, run_start, run_end): stretches longer than ``limit`` in which the bisection found no boundary."""
-    kind = df.schema[id_col].dataType.simpleString()
-    parts = _oversized(df, id_col, text_col, limit).mapInArrow(_rows(limit, overlap, True), f"parent_id {kind}, start long, end long, hard boolean")
+    parts = _cut(df, id_col, text_col, limit, overlap, True)
     return parts.filter(F.col("end") - F.col("start") > limit).select("parent_id", F.col("start").alias("run_start"), F.col("end").alias("run_end"))
