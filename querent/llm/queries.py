@@ -36,15 +36,17 @@ def p1_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("query").alias("vec_id"), F.col("id").alias("neighbour_id"), "rank", F.round("sim", 4).alias("cosine"))
 
 
-def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    from querent.plans.staging import Stage
+def _splits(spark: SparkSession, sf: str) -> DataFrame:
+    return related_splits.assign_splits(_read(spark, sf, "queries"), _read(spark, sf, "corpus"), _read(spark, sf, "split_plan"))
 
-    groups = related_splits.related_groups(_read(spark, sf, "queries"), _read(spark, sf, "corpus"), Stage(spark, "p2"))
-    return groups.filter("members > 1").select("query_id", "group_id")
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The groups of the split assignment that hold several ids."""
+    return _splits(spark, sf).filter("members > 1").select("query_id", "group_id")
 
 
 def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
-    return related_splits.assign_splits(_read(spark, sf, "queries"), _read(spark, sf, "corpus"), _read(spark, sf, "split_plan"))
+    return _splits(spark, sf).select("query_id", "group_id", "split_name")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,13 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querent.plans.skew import global_rank
+from querent.plans.skew import global_rank, join_on_hot_key
 from querent.plans.staging import Stage
 
 #: Equal bins that the components are balanced into before whole bins go to splits.
 BINS = 200
 #: Rounds after which the component search gives up; each at least halves the height of the trees.
 MAX_ROUNDS = 60
+#: Rows of one key from which on they stay where they are and what is known of the key is broadcast.
+HOT_ROWS = 100_000
 
 
 def tidy_id(value: Column) -> Column:
@@ -35,15 +37,16 @@ def connected_components(edges: DataFrame, stage: Stage, max_rounds: int = MAX_R
     for _ in range(max_rounds):
         # large star: every neighbour that is larger than the node hangs under the node's smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        hung = join_on_hot_key(both, least, "u", HOT_ROWS, "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stage.write(hung.filter("u <> v").distinct(), "large")
         # small star: every smaller neighbour, and the node, hang under the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_on_hot_key(large, low, "u", HOT_ROWS, "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = stage.write(small, "stars")
         now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        stage.drop(e)
+        stage.drop(e, large)
         e = after
         if mark == tuple(now):
             break
@@ -66,11 +69,13 @@ def related_groups(queries: DataFrame, corpus: DataFrame, stage: Stage) -> DataF
     first = named.filter("doc is not null").groupBy("query_id").agg(F.min("doc").alias("own"))
     ties = named.filter("doc is not null").join(first, "query_id").select(F.col("own").alias("a"), F.col("doc").alias("b")).distinct()
     roots = connected_components(ties.unionByName(replaced), stage)
-    placed = named.select("query_id").distinct().join(first, "query_id", "left").join(roots, F.col("own") == F.col("node"), "left").select("query_id", "root")
-    placed = stage.write(placed, "placed")
-    group = placed.filter("root is not null").groupBy("root").agg(F.min("query_id").alias("group_id"), F.count(F.lit(1)).alias("members"))
-    tied = placed.join(group, "root", "left")
-    return tied.select("query_id", F.coalesce("group_id", "query_id").alias("group_id"), F.coalesce("members", F.lit(1)).alias("members"))
+    # a document that many ids name, and a group that holds many, keep their rows where they are
+    owned = roots.withColumnRenamed("node", "own").join(first.groupBy("own").agg(F.count(F.lit(1)).alias("n")), "own")
+    placed = stage.write(join_on_hot_key(first, owned, "own", HOT_ROWS, "n").select("query_id", "root"), "placed")
+    group = placed.groupBy("root").agg(F.min("query_id").alias("group_id"), F.count(F.lit(1)).alias("members"))
+    tied = join_on_hot_key(placed, group, "root", HOT_ROWS, "members").select("query_id", "group_id", "members")
+    alone = named.groupBy("query_id").agg(F.count("doc").alias("n")).filter("n = 0").select("query_id", F.col("query_id").alias("group_id"), F.lit(1).cast("long").alias("members"))
+    return tied.unionByName(alone)
 
 
 @dataclass
@@ -81,52 +86,51 @@ class Allocation:
     split_of: dict[int, str]
 
 
+def _equal(weight: int, count: int, bins: int) -> list[tuple[int, list]]:
+    """What differencing makes of equal groups: every bin has the same number of them, or one more."""
+    each, more = divmod(count, bins)
+    return [(weight * (each + extra), [(weight, each + extra)]) for extra, n in ((0, bins - more), (1, more)) for _ in range(n)]
+
+
 def balance(histogram: dict[int, int], shares: dict[str, float], bins: int = BINS) -> Allocation:
     """Largest differencing over a histogram of group weights, then whole bins to splits.
 
-    Weights with many groups are dealt evenly to all bins first (which changes no difference); the
-    rest are combined by the k-way differencing rule: the two partial solutions with the largest
-    spread are merged, the heaviest bins of one onto the lightest of the other.
+    The k-way rule: the two partial solutions with the largest spread are merged, the heaviest bins of
+    one onto the lightest of the other. Groups of equal weight are merged with each other first, which
+    gives one partial solution for each weight; with N rows there are fewer than sqrt(2 N).
     """
     total = sum(w * c for w, c in histogram.items())
     bins = max(1, min(bins, sum(histogram.values())))
-    even = {w: c // bins for w, c in histogram.items() if c >= bins}
-    # a partial solution: loads from light to heavy, each with what it holds; bins that hold nothing are left out
     heap: list[tuple[int, int, list[tuple[int, list]]]] = []
-    n = 0
-    for w in sorted(histogram, reverse=True):
-        for _ in range(histogram[w] % bins if w in even else histogram[w]):
-            heap.append((-w, n, [(w, [w])]))
-            n += 1
+    for n, w in enumerate(sorted(histogram, reverse=True)):
+        own = _equal(w, histogram[w], bins)
+        heap.append((own[0][0] - own[-1][0], n, own))
     heapq.heapify(heap)
+    n = len(heap)
     while len(heap) > 1:
         (_, _, x), (_, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-        x, y = ([*[(0, [])] * max(0, min(bins, len(x) + len(y)) - len(p)), *p] for p in (x, y))
         merged = sorted(((a + c, [b, d]) for (a, b), (c, d) in zip(x, reversed(y))), key=lambda p: p[0])
-        base = merged[0][0] if len(merged) == bins else 0
         n += 1
-        heapq.heappush(heap, (-(merged[-1][0] - base), n, merged))
-    loads = heap[0][2] if heap else []
-    loads = [*[(0, [])] * (bins - len(loads)), *loads]
+        heapq.heappush(heap, (merged[0][0] - merged[-1][0], n, merged))
+    loads = heap[0][2] if heap else [(0, [])] * bins
 
-    fixed = sum(w * c for w, c in even.items())
     counts: list[dict[int, int]] = []
     for _, held in loads:
-        own = dict(even)
+        own: dict[int, int] = {}
         todo = [held]
         while todo:
             for x in todo.pop():
                 if isinstance(x, list):
                     todo.append(x)
-                else:
-                    own[x] = own.get(x, 0) + 1
+                elif x[1]:
+                    own[x[0]] = own.get(x[0], 0) + x[1]
         counts.append(own)
     left = {s: share * total for s, share in sorted(shares.items())}
     split_of = {}
     for b in sorted(range(bins), key=lambda b: (-loads[b][0], b)):
         split = max(left, key=lambda s: (left[s], s))
         split_of[b] = split
-        left[split] -= loads[b][0] + fixed
+        left[split] -= loads[b][0]
     runs, upto = [], {}
     for b in range(bins):
         for w, c in sorted(counts[b].items()):
@@ -136,7 +140,7 @@ def balance(histogram: dict[int, int], shares: dict[str, float], bins: int = BIN
 
 
 def assign_splits(queries: DataFrame, corpus: DataFrame, plan: DataFrame, seed: int = 11, bins: int = BINS) -> DataFrame:
-    """(query_id, group_id, split_name): every query id's split, near the shares of ``plan``, groups whole.
+    """(query_id, group_id, members, split_name): every query id's split, near the shares of ``plan``, groups whole.
 
     The weight of a group is its number of rows. Only the histogram of weights reaches the driver: with
     N rows it has fewer than sqrt(2 N) entries. Groups of one weight are told apart by a seeded order.
@@ -157,4 +161,5 @@ def assign_splits(queries: DataFrame, corpus: DataFrame, plan: DataFrame, seed:
     runs = spark.createDataFrame(table, "weight bigint, first bigint, beyond bigint, split_name string")
     ranked = global_rank(stage, weights, ["weight"], ["order", "group_id"])
     placed = ranked.join(F.broadcast(runs), "weight").filter("rank >= first and rank < beyond").select("group_id", "split_name")
-    return groups.join(placed, "group_id").select("query_id", "group_id", "split_name")
+    named = placed.join(groups.groupBy("group_id").agg(F.max("members").alias("size")), "group_id")
+    return join_on_hot_key(groups, named, "group_id", HOT_ROWS, "size").select("query_id", "group_id", "members", "split_name")
