@@ -4,11 +4,9 @@ import hashlib
 import unicodedata
 from datetime import datetime
 
-import numpy as np
 import pytest
 
 from querent import catalog
-from querent.llm import neighbours, overlaps
 from querent.operators import audit, compare
 
 QUERIES = "query_id string, question string, relevant_ids array<string>, answers array<string>, split string, source string, created_at timestamp"
@@ -61,16 +59,6 @@ def test_spans_of_every_gold_answer(spark, tmp_path):
     assert sorted(tuple(r) for r in catalog.queries()["answer_spans"](spark, sf).collect()) == sorted(want) and len(want) == 7
 
 
-def test_copies_do_not_end_the_rounds_early(spark):
-    rng = np.random.default_rng(5)
-    centres = rng.standard_normal((12, 16)) * 2
-    x = (centres[rng.integers(0, 12, 600)] + rng.standard_normal((600, 16))).astype(np.float32).tolist()
-    rows = [(i + 1, v) for i, v in enumerate(x)]
-    build = lambda rows: neighbours.build_graph(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), dims=16, block_rows=100, home_rows=150, orders=2)
-    # nine tenths of the rows are copies, the graph is the same
-    assert build(rows + [(600 * c + i, v) for c in range(1, 10) for i, v in rows]).rounds == pytest.approx(build(rows).rounds)
-
-
 def test_interval_of_paired_differences(spark):
     diffs = [1.0, 0.0, -1.0, 1.0, 1.0] * 20
     side = lambda sign: spark.createDataFrame([(str(i), max(0.0, sign * d)) for i, d in enumerate(diffs)], "query_id string, answer_em double")
@@ -85,9 +73,3 @@ def test_coverage_of_every_experiment(spark):
     expected = spark.createDataFrame([(e, q) for e in "abc" for q in ("q1", "q2")], "experiment string, query_id string")
     want = [("a", "q2", "missing"), ("b", "q1", "missing"), ("b", "q3", "unexpected"), ("c", "q1", "missing"), ("c", "q2", "missing")]
     assert sorted(tuple(r) for r in audit.coverage_check(rows, expected, by=("experiment",)).collect()) == want
-
-
-def test_report_tells_the_same_text_from_the_same_words(spark):
-    rows = [ask("a", "Café one two", "train"), ask("b", "two one cafe", "test"), ask("c", "cafe ONE, two!", "test"), ask("d", "cafe one two two", "test")]
-    got = overlaps.overlap_report(spark.createDataFrame(rows, QUERIES)).first()
-    assert (got["records"], got["exact"], got["identical"]) == (3, 3, 1)
