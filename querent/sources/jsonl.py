@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from querent.functions.text import QUESTION_LIMIT, TEXT_LIMIT, is_blank
 from querent.operators import audit
+from querent.sources.contracts import number
 
 MAX_BYTES, MAX_RECORDS, MAX_REQUESTS = 16 * 1024 * 1024, 100_000, 10_000
 CORPUS = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "title", "text")])
@@ -19,22 +21,27 @@ QUERIES = T.StructType([T.StructField("query_id", T.StringType()), T.StructField
 REQUESTS = T.StructType([T.StructField(c, T.StringType()) for c in ("query_id", "question")])
 
 
-def unique_object(pairs: list[tuple[str, object]]) -> dict:
-    """For json.loads: an object whose keys are distinct."""
-    out: dict = {}
-    for key, value in pairs:
-        if key in out:
-            raise ValueError(f"duplicate JSON field: {key}")
-        out[key] = value
-    return out
+class _Strict(json.JSONDecoder):
+    """Objects with distinct keys, numbers that JSON has."""
 
+    def __init__(self) -> None:
+        super().__init__(object_pairs_hook=self._object, parse_constant=self._name)
 
-def reject_constant(value: str) -> None:
-    raise ValueError(f"nonstandard JSON number: {value}")
+    @staticmethod
+    def _object(pairs: list[tuple[str, object]]) -> dict:
+        fields = dict(pairs)
+        if len(fields) < len(pairs):
+            often = Counter(name for name, _ in pairs)
+            raise ValueError("duplicate JSON field " + ", ".join(sorted(name for name, n in often.items() if n > 1)))
+        return fields
+
+    @staticmethod
+    def _name(name: str) -> None:
+        raise ValueError(f"{name} is a nonstandard number")
 
 
 def strict_loads(text: str) -> object:
-    return json.loads(text, object_pairs_hook=unique_object, parse_constant=reject_constant)
+    return _Strict().decode(text)
 
 
 def _fits(value: object, kind: T.DataType) -> bool:
@@ -48,21 +55,19 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType, max_bytes:
 
     Lines are parsed on the workers; the byte and record budgets are checked by one aggregate first.
     """
-    for limit in (max_bytes, max_records):
-        if type(limit) is not int or limit < 1:
-            raise ValueError("byte and record limits must be positive integers")
+    if not all(number(1, float("inf"), whole=True)(limit) for limit in (max_bytes, max_records)):
+        raise ValueError("a budget is a whole number from 1 on")
     names = [f.name for f in schema.fields]
     # whole lines, in order: the row index of a text scan is the line number less one
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
     lines = lines.withColumn("_i", F.monotonically_increasing_id())
     lines = lines.withColumn("line", _line_numbers(lines))
     size = lines.agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.count_if(~is_blank(F.col("value"))).alias("records")).first()
-    if (size["bytes"] or 0) > max_bytes + 1:
-        raise ValueError("dataset byte budget exceeded")
-    if size["records"] > max_records:
-        raise ValueError("dataset record budget exceeded")
+    for what, most, got in (("bytes", max_bytes, (size["bytes"] or 1) - 1), ("records", max_records, size["records"])):
+        if got > most:
+            raise ValueError(f"{path}: {got} {what}, the budget is {most}")
     if not size["records"]:
-        raise ValueError("JSONL must contain at least one object")
+        raise ValueError(f"{path}: at least one object is needed")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
