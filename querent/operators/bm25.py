@@ -1,16 +1,30 @@
-"""BM25 over an inverted index that is a DataFrame."""
+"""BM25 over an inverted index that is built once.
+
+The index is a table of blocks of documents, each with its own postings, and a table of document
+counts by term. It can be written and read again; a search tokenizes the questions only.
+"""
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.functions.text import bm25_term, idf, tokens
+from querent.functions.text import bm25_term, canonical_hash, check_k, idf, tokens
+from querent.operators.blocks import packed, search_blocks, unpacked
 from querent.operators.rank import rank_in_query
+from querent.plans.staging import Stage
 
 K1, B, TITLE_WEIGHT = 1.5, 0.75, 1.0
+#: Documents of a block of the index, and questions of a block; their product is one matrix of scores.
+BLOCK_DOCS, BLOCK_QUERIES = 8192, 256
 
 
 def check_parameters(k1: float, b: float, title_weight: float) -> None:
@@ -59,27 +73,135 @@ def _collection(corpus: DataFrame, title_weight: float):
     return lens.agg(F.count(F.lit(1)).cast("double")).scalar(), lens.agg(F.avg("len")).scalar()
 
 
-def contributions(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B, title_weight: float = TITLE_WEIGHT) -> DataFrame:
-    """(query_id, doc_id, term, tf, idf, part): what each term adds to each score.
-
-    Postings are cut to the terms that some question has before they are grouped, so the wide shuffle
-    carries only those.
+@dataclass(frozen=True)
+class Index:
+    """``blocks`` (doc_id, len, term, start, doc, tf: arrays), ``terms`` (term, df), the number of documents and their mean length."""
+
+    blocks: DataFrame
+    terms: DataFrame
+    documents: int
+    mean: float
+    title_weight: float
+    #: Of the documents, whatever their order.
+    fingerprint: str
+
+    def save(self, path: str) -> None:
+        """Writes the index to a new folder of the shared file system; its facts come last."""
+        self.blocks.write.parquet(f"{path}/blocks")
+        self.terms.write.parquet(f"{path}/terms")
+        facts = {"documents": self.documents, "mean": self.mean, "title_weight": self.title_weight, "fingerprint": self.fingerprint}
+        spark = self.blocks.sparkSession
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.text(f"{path}/facts")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
+        return cls(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/terms"), **facts)
+
+
+def _postings_of_blocks(size: int, title_weight: float):
+    """Blocks of documents with their postings, sorted by term."""
+
+    def one(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        n = t.num_rows
+        owners, words, weights = [], [], []
+        for name, weight in (("text", 1.0), ("title", title_weight)):
+            column = pa.concat_arrays(t[name].chunks)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+            if weight:
+                owners.append(np.repeat(np.arange(n), sizes))
+                words.append(column.flatten())
+                weights.append(np.full(int(sizes.sum()), weight))
+        owner, weight = np.concatenate(owners), np.concatenate(weights)
+        coded = pa.concat_arrays(words).dictionary_encode()
+        order = pc.array_sort_indices(coded.dictionary)
+        place = np.empty(len(coded.dictionary), np.int64)
+        place[np.asarray(order)] = np.arange(len(order))
+        code = place[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
+        keys, back = np.unique(code * n + owner, return_inverse=True)
+        tf = np.bincount(back, weights=weight, minlength=len(keys)).astype(np.float64)
+        start = np.searchsorted(keys // n, np.arange(len(order) + 1)) if n else np.zeros(1, int)
+        length = np.bincount(owner, weights=weight, minlength=n).astype(np.float64)
+        cols = {"doc_id": pa.concat_arrays(t["doc_id"].chunks), "len": pa.array(length), "term": coded.dictionary.take(order), "start": pa.array(start.astype(np.int32)), "doc": pa.array((keys % n).astype(np.int32)), "tf": pa.array(tf)}
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols.values()], list(cols))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            while sum(x.num_rows for x in held) >= size:
+                t = pa.Table.from_batches(held)
+                yield one(t.slice(0, size))
+                held = [x for x in t.slice(size).to_batches() if x.num_rows]
+        if held:
+            yield one(pa.Table.from_batches(held))
+
+    return run
+
+
+def build_index(corpus: DataFrame, title_weight: float = TITLE_WEIGHT, block_docs: int = BLOCK_DOCS) -> Index:
+    """The index of a corpus (doc_id, title, text); one tokenization, documents stay where they lie.
+
+    Null titles and texts are empty; documents without a term count with length 0.
     """
-    check_parameters(k1, b, title_weight)
-    asked = query_terms(queries)
-    each = _weighted(corpus, title_weight).select("doc_id", "len", F.explode("words").alias("x")).select("doc_id", "len", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
-    used = each.join(asked.select("term").distinct(), "term", "left_semi")
-    index = used.groupBy("term", "doc_id").agg(F.sum("w").alias("tf"), F.first("len").alias("len"))
-    n, mean = _collection(corpus, title_weight)
-    weighted = index.join(term_stats(index), "term").select("doc_id", "term", "tf", idf(n, F.col("df")).alias("idf"), "len")
-    weighted = weighted.withColumn("part", bm25_term(F.col("idf"), F.col("tf"), F.col("len"), mean, k1, b)).drop("len")
-    return asked.join(weighted, "term")
+    check_parameters(K1, B, title_weight)
+    stage = Stage(corpus.sparkSession, "bm25")
+    words = corpus.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("text"), tokens(F.coalesce("title", F.lit(""))).alias("title"))
+    kind = dict(corpus.dtypes)["doc_id"]
+    shape = f"doc_id array<{kind}>, len array<double>, term array<string>, start array<int>, doc array<int>, tf array<double>"
+    blocks = stage.write(words.mapInArrow(_postings_of_blocks(block_docs, title_weight), shape), "blocks")
+    counts = F.transform("term", lambda t, i: F.struct(t.alias("term"), (F.get("start", i + 1) - F.get("start", i)).alias("n")))
+    terms = stage.write(blocks.select(F.explode(counts).alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("df")), "terms")
+    hashed = F.aggregate("doc_id", F.lit(0).cast("decimal(38,0)"), lambda s, d: (s + F.xxhash64(d)).cast("decimal(38,0)"))
+    facts = blocks.agg(F.sum(F.size("doc_id")).alias("n"), F.sum(F.aggregate("len", F.lit(0.0), lambda s, x: s + x)).alias("len"), F.sum(hashed).alias("ids")).first()
+    n = facts["n"] or 0
+    return Index(blocks, terms, n, facts["len"] / n if n else 0.0, float(title_weight), canonical_hash([n, facts["len"], str(facts["ids"]), float(title_weight)]))
+
+
+def _scores(k1: float, b: float, mean: float):
+    def run(own: pa.Table, asking: pa.Table, i: int) -> np.ndarray:
+        length = np.asarray(unpacked(own["len"]))
+        start, doc, tf = (np.asarray(unpacked(own[c])) for c in ("start", "doc", "tf"))
+        lists = unpacked(asking["words"], i)
+        sizes = np.asarray(pc.list_value_length(lists))
+        words = lists.flatten()
+        query = np.repeat(np.arange(len(lists)), sizes)
+        term = pc.index_in(words.field("term"), unpacked(own["term"])).to_numpy(zero_copy_only=False)
+        weight = np.asarray(words.field("idf"))
+        here = ~np.isnan(term)
+        query, term, weight = query[here], term[here].astype(np.int64), weight[here]
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean)) if mean else tf * 0.0
+        out = np.zeros((len(lists), len(length)))
+        order = np.argsort(term, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0, True]) if len(order) else np.zeros(1, int)
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            at = order[lo:hi]
+            own_docs = slice(start[term[at[0]]], start[term[at[0]] + 1])
+            # a question has a term once, so no place is added to twice
+            out[query[at][:, None], doc[own_docs][None, :]] += weight[at][:, None] * part[own_docs][None, :]
+        return out
+
+    return run
+
+
+def search_index(queries: DataFrame, index: Index, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents with a positive score, equal ones by id."""
+    check_k(k)
+    check_parameters(k1, b, index.title_weight)
+    stage = Stage(queries.sparkSession, "bm25-search")
+    weighted = query_terms(queries).join(index.terms, "term").select("query_id", F.struct("term", idf(F.lit(float(index.documents)), F.col("df")).alias("idf")).alias("w"))
+    asked = weighted.groupBy("query_id").agg(F.array_sort(F.collect_list("w")).alias("words"))
+    blocks = stage.write(packed(asked, BLOCK_QUERIES), "questions")
+    kinds = dict(asked.dtypes)["query_id"], dict(index.blocks.dtypes)["doc_id"].removeprefix("array<").removesuffix(">")
+    return rank_in_query(search_blocks(index.blocks, blocks, _scores(k1, b, index.mean), k, kinds, above=0.0), k)
 
 
 def search(queries: DataFrame, corpus: DataFrame, k: int = 5, k1: float = K1, b: float = B, title_weight: float = TITLE_WEIGHT) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents with a positive score."""
-    scored = contributions(queries, corpus, k1, b, title_weight).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
-    return rank_in_query(scored.filter("score > 0"), k)
+    """As ``search_index``, on an index that is built for this call."""
+    check_parameters(k1, b, title_weight)
+    return search_index(queries, build_index(corpus, title_weight), k, k1, b)
 
 
 def explain(queries: DataFrame, corpus: DataFrame, doc_id: str, k1: float = K1, b: float = B, title_weight: float = TITLE_WEIGHT) -> DataFrame:
