@@ -596,7 +596,9 @@ def coverage_check(spark, sf):
     return audit.coverage_check(V.read(spark, sf, "runner").filter("experiment = 'lexical-base'"), V.read(spark, sf, "queries").filter("split = 'test'"))
 
 
-@query()
+@query("""WITH w AS (SELECT DISTINCT experiment, query_id FROM experiments, (SELECT query_id FROM queries WHERE split = 'test')), g AS (SELECT DISTINCT experiment, query_id FROM runner)
+    SELECT experiment, query_id, 'missing' AS side FROM w ANTI JOIN g USING (experiment, query_id) WHERE experiment IS NOT NULL AND query_id IS NOT NULL
+    UNION ALL SELECT experiment, query_id, 'unexpected' FROM g ANTI JOIN w USING (experiment, query_id)""")
 def coverage_by_experiment(spark, sf):
     """coverage_check of every experiment."""
     asked = V.read(spark, sf, "queries").filter("split = 'test'").select("query_id")
@@ -616,7 +618,10 @@ def valid_eval_rows(spark, sf):
     return audit.invalid_evaluation_rows(V.attempts(spark, sf))
 
 
-@query()
+@query(f"""WITH {V.SQL_CORPUS}, {V.SQL_ATTEMPTS}, r AS (SELECT attempt_id AS query_id, unnest(ranked_ids) AS doc_id FROM t)
+    SELECT 'unknown id' AS rule, query_id, doc_id AS detail FROM r ANTI JOIN c USING (doc_id)
+    UNION ALL SELECT 'repeated id', query_id, doc_id FROM r GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'too long', query_id, count(*)::VARCHAR FROM r GROUP BY query_id HAVING count(*) > 5""")
 def valid_ranked(spark, sf):
     logged = rank.rank_enumerate(V.attempts(spark, sf).select(F.col("attempt_id").alias("query_id"), "ranked_ids")).withColumn("score", 1.0 / F.col("rank"))
     return rank.valid_ranked(logged, V.corpus(spark, sf))
@@ -672,6 +677,80 @@ def join_pairs(spark, sf):
     return left.join(right, ["source", "key"]).select("query_id", "other")
 
 
+# ---- operators over all rows, where an older query above reads a part
+
+def _all_questions(spark, sf):
+    return V.questions(spark, sf).select("query_id", "question")
+
+
+@query(f"WITH {_bm25_sql(1.0, 'TRUE')} SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM top")
+def bm25_search_all(spark, sf):
+    """Every question, not the test questions only."""
+    return _r(bm25.search(_all_questions(spark, sf), V.corpus(spark, sf), 5))
+
+
+@query(f"WITH {_bm25_sql(1.0, 'TRUE')} SELECT query_id, count(DISTINCT doc_id) AS candidates FROM asked JOIN p USING (term) GROUP BY query_id")
+def bm25_candidates_all(spark, sf):
+    words = F.concat_ws(" ", "text", "title")
+    docs = V.corpus(spark, sf).select("doc_id", words.alias("text"), F.lit(None).cast("string").alias("title"))
+    return bm25.candidates(_all_questions(spark, sf), docs).groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+@query(f"""WITH {V.SQL_CORPUS}, {V.SQL_QUESTIONS},
+    p AS (SELECT query_id, doc_id, unnest(answers) AS answer FROM (SELECT query_id, answers, unnest(relevant_ids) AS doc_id FROM q)),
+    s AS (SELECT query_id, doc_id, answer, text, unnest(range(0, greatest(0, length(text) - length(answer) + 1))) AS i FROM p JOIN c USING (doc_id))
+    SELECT query_id, doc_id, answer, i AS start, i + length(answer) AS "end" FROM s WHERE text[i + 1 : i + length(answer)] = answer""")
+def answer_spans_all(spark, sf):
+    """The rows of answer_spans, held against SQL that has every gold answer."""
+    return _QUERIES["answer_spans"](spark, sf)
+
+
+@query(f"""WITH {V.SQL_CORPUS} SELECT doc_id, array_to_string({_WORDS.format('text')}, ' ') AS tokens FROM c""")
+def token_texts(spark, sf):
+    """The tokens themselves."""
+    return V.corpus(spark, sf).select("doc_id", F.concat_ws(" ", X.tokens(F.col("text"))).alias("tokens"))
+
+
+@query("""WITH raw AS (SELECT DISTINCT ON (vec_id) vec_id, embedding::DOUBLE[] AS e FROM dense_index WHERE vec_id IS NOT NULL),
+    ok AS (SELECT vec_id, e FROM raw WHERE e IS NOT NULL AND len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    sc AS (SELECT vec_id, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS v FROM ok)
+    SELECT vec_id, i AS at, round(v[i] / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) + 0.0 AS value FROM (SELECT vec_id, v, unnest(range(1, 65)) AS i FROM sc)""")
+def scaled_unit_values(spark, sf):
+    """Every number of every unit vector."""
+    usable = _vectors(spark, sf).filter(dense.is_usable(F.col("embedding"), 64))
+    each = usable.select(F.col("doc_id").alias("vec_id"), F.posexplode(X.scaled_unit(F.col("embedding"))).alias("p", "value"))
+    return each.select("vec_id", (F.col("p") + 1).cast("long").alias("at"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query(f"WITH {V.SQL_ROWS} SELECT experiment || '|' || query_id AS query_id, count(*) AS repeats, count(DISTINCT (raw_answer, confidence, ranked_ids)) = 1 AS stable FROM e GROUP BY 1")
+def prediction_stability(spark, sf):
+    """``stable`` of collect_predictions."""
+    rows = V.evaluation_rows(spark, sf).withColumn("query_id", F.concat_ws("|", "experiment", "query_id"))
+    return scoring.collect_predictions(rows).select("query_id", "repeats", "stable")
+
+
+@query(f"""WITH {_SCORED}, m AS (SELECT experiment, query_id, avg(answer_em) AS v FROM s GROUP BY ALL),
+    l AS (SELECT query_id, v FROM m WHERE experiment = 'lexical-base')
+    SELECT m.experiment, query_id, round(m.v - l.v, 6) AS diff FROM m FULL JOIN l USING (query_id) WHERE m.experiment IS NOT NULL""")
+def verified_pairs(spark, sf):
+    """Every experiment paired with lexical-base by question; null where that lacks the question."""
+    rows = _scored(spark, sf).groupBy("experiment", "query_id").agg(F.avg("answer_em").alias("answer_em"))
+    base = rows.filter("experiment = 'lexical-base'").select("query_id", "answer_em")
+    names = rows.select("experiment").distinct()
+    pairs = compare.paired_differences(rows, names.crossJoin(F.broadcast(base)), by=("experiment",))
+    mine = rows.select("experiment", "query_id")
+    return _r(pairs.join(mine, ["experiment", "query_id"], "left_semi"))
+
+
+@query(f"""WITH {V.SQL_ROWS}, d AS (SELECT * FROM e WHERE split = 'dev'), f AS (SELECT DISTINCT query_id, ('0x' || substr(sha256('0|' || query_id), 1, 8))::BIGINT % 3 AS fold FROM d)
+    SELECT fold::INT AS fold, count(*) AS rows, count(DISTINCT query_id) AS questions FROM d JOIN f USING (query_id) GROUP BY fold""")
+def placed_folds(spark, sf):
+    """Rows joined to the folds of their questions, which must cover them exactly."""
+    rows = _dev(spark, sf)
+    folds = rows.select("query_id").distinct().withColumn("fold", compare.hash_fold(F.col("query_id"), 3))
+    return calibration.place_folds(rows, folds).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("query_id").alias("questions"))
+
+
 # ---- smaller operators
 
 @query(f"WITH {V.SQL_ROWS} SELECT experiment, count(*) FILTER (WHERE {_NAMED}) AS answered, count(*) FILTER (WHERE {_NAMED} AND confidence >= 0.5) AS accepted FROM e GROUP BY experiment")

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from querent.operators import audit, bm25, calibration, compare, rank, reader, scoring
+from querent.operators import audit, bm25, calibration, compare, dense, rank, reader, scoring
 from querent.plans.session import local_session
 from querent.sources import artifacts, jsonl
 
@@ -26,36 +26,68 @@ def audit_data(spark, folder: str) -> dict:
     return {"documents": corpus.count(), **{s: q.count() for s, q in splits.items()}, "corpus_sha256": artifacts.corpus_hash(corpus, "_ord"), "manifest": artifacts.dataset_manifest(spark, paths)}
 
 
-def evaluate(spark, corpus, questions, config: artifacts.RunConfig):
-    """Evaluation rows of BM25 and the lexical reader."""
-    ranking = bm25.search(questions, corpus, max(config.retrieval_k, config.reader_k))
+def rankings(questions, corpus, index, vectors, encoder, k: int) -> dict:
+    """The ranking of each experiment: lexical, dense, and both fused."""
+    lexical = bm25.search_index(questions, index, k)
+    near = dense.search(dense.encode_questions(questions, encoder), vectors, k, encoder.dimension)
+    return {"lexical": lexical, "dense": near, "fused": rank.reciprocal_rank_fusion([lexical, near], k=k)}
+
+
+def evaluate(questions, corpus, ranking, config: artifacts.RunConfig):
+    """Evaluation rows of a ranking and the lexical reader."""
+    rank.assert_batch(questions, ranking, config.retrieval_k)
     lists = rank.retrieve_batch(questions, ranking).select("query_id", F.transform("ranked", lambda x: x["doc_id"]).alias("ranked_ids"))
     got = reader.predict(questions, ranking, corpus, reader.LexicalReader(), 0.0, config.reader_k).select("query_id", F.col("answer").alias("raw_answer"), "confidence", "document_id")
     return questions.select("query_id", "answers", "relevant_ids").join(lists, "query_id").join(got, "query_id")
 
 
 def run(spark, config: artifacts.RunConfig) -> dict:
-    """Audits, predicts, freezes the threshold on the development split, scores both splits, writes the evidence."""
+    """Audits, builds the indexes once, predicts, freezes each threshold on the development split, scores both splits, writes the evidence."""
+    encoder = dense.HashedEncoder()
     with artifacts.run_status(config.output):
         facts = audit_data(spark, config.data)
-        artifacts.set_stage(config.output, "predict")
+        artifacts.set_stage(config.output, "index")
         corpus = jsonl.scan_corpus(spark, f"{config.data}/corpus.jsonl")
-        rows = {s: evaluate(spark, corpus, jsonl.scan_queries(spark, f"{config.data}/{s}.jsonl", corpus), config).persist() for s in ("dev", "test")}
-        artifacts.set_stage(config.output, "calibrate")
-        best = calibration.calibrate_threshold(rows["dev"]).first()
-        own = {"split": "dev", "threshold": best["threshold"], "objective_value": best["balanced_accuracy"]}
-        bound = artifacts.bind_calibration(own, facts["manifest"]["sha256"], artifacts.development_fingerprint(rows["dev"]))
-        artifacts.save_calibration(f"{config.output}/calibration.json", bound)
+        index = bm25.build_index(corpus)
+        artifacts.save_bundle(f"{config.output}/bundle", corpus, dense.encode_corpus(corpus, encoder), {"schema_version": 2, "corpus": facts["corpus_sha256"], "encoder": encoder.fingerprint, "lexical_index": index.fingerprint, "reader_k": config.reader_k})
+        _, vectors, manifest = artifacts.load_bundle(spark, f"{config.output}/bundle")
+        artifacts.valid_index(manifest, facts["corpus_sha256"], encoder.fingerprint)
+        artifacts.set_stage(config.output, "predict")
+        rows: dict = {}
+        for s in ("dev", "test"):
+            asked = jsonl.scan_queries(spark, f"{config.data}/{s}.jsonl", corpus)
+            for name, ranking in rankings(asked, corpus, index, vectors, encoder, config.retrieval_k).items():
+                rows.setdefault(name, {})[s] = evaluate(asked, corpus, ranking, config).persist()
         artifacts.set_stage(config.output, "score")
-        report = {"schema_version": 1, "data_audit": facts, "protocol": config.protocol, "calibration": own, "metrics": {}}
-        for s, r in rows.items():
-            scored = scoring.scored(r, best["threshold"], config.reader_k)
-            scored.write.parquet(f"{config.output}/{s}")
-            report["metrics"][s] = scored.agg(*scoring.metric_aggregates(config.cutoffs)).first().asDict()
+        report = {
+            "schema_version": 1, "data_audit": facts, "data_file_sha256": facts["manifest"]["files"], "protocol": config.protocol, "latency_protocol": config.protocol, "execution": artifacts.execution_info(spark),
+            "hardware": artifacts.machine_info(), "models": {"encoder": {"fingerprint": encoder.fingerprint}, "reader": {"fingerprint": artifacts.canonical_hash("lexical reader 1")}}, "experiments": {},
+        }
+        for name, own in rows.items():
+            calibration.assert_support(own["dev"])
+            best = calibration.calibrate_threshold(own["dev"]).first()
+            frozen = {"split": "dev", "threshold": best["threshold"], "objective_value": best["balanced_accuracy"]}
+            bound = artifacts.bind_calibration(frozen, facts["manifest"]["sha256"], artifacts.development_fingerprint(own["dev"]))
+            artifacts.save_calibration(f"{config.output}/calibration-{name}.json", bound)
+            result = {"calibration": frozen, "metrics": {}, "answer_em": {}}
+            for s, r in own.items():
+                scored = scoring.scored(r, best["threshold"], config.reader_k)
+                scored.write.parquet(f"{config.output}/rows/experiment={name}/split={s}")
+                result["metrics"][s] = scored.agg(*scoring.metric_aggregates(config.cutoffs)).first().asDict()
+                result["answer_em"][s] = compare.bootstrap_mean(scored, "answer_em", (), max(2, config.samples), seed=config.seed).first().asDict()
+            report["experiments"][name] = result
+        report |= {"metrics": report["experiments"]["lexical"]["metrics"], "calibration": report["experiments"]["lexical"]["calibration"]}
         Path(config.output, "report.json").write_text(json.dumps(report, indent=2, allow_nan=False) + "\n", encoding="utf-8")
     return report
 
 
+def compare_runs(spark, left: str, right: str) -> list[dict]:
+    """The paired differences of the test rows of two runs, experiment by experiment."""
+    reports = [jsonl.strict_loads(Path(x, "report.json").read_text(encoding="utf-8")) for x in (left, right)]
+    rows = [spark.read.parquet(f"{x}/rows").filter("split = 'test'") for x in (left, right)]
+    return [r.asDict() for r in compare.compare_benchmarks(*reports, *rows).collect()]
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="querent", description=__doc__)
     sub = parser.add_subparsers(dest="command", required=True)
@@ -70,6 +102,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("requests")
     p.add_argument("output")
     p.add_argument("--threshold", type=float, default=0.0)
+    p.add_argument("--continue-on-error", action="store_true")
     p = sub.add_parser("compare")
     p.add_argument("left")
     p.add_argument("right")
@@ -86,20 +119,20 @@ def main(argv: list[str] | None = None) -> int:
             out = artifacts.export_bundle(args.source, args.target)
         elif args.command == "import":
             out = artifacts.import_bundle(args.source, args.target)
-        elif args.command == "compare":
-            left, right = (jsonl.strict_loads(Path(x).read_text(encoding="utf-8")) for x in (args.left, args.right))
-            out = compare.compare_benchmarks(left, right)
         else:
             spark = local_session()
-            if args.command == "audit":
+            if args.command == "compare":
+                out = compare_runs(spark, args.left, args.right)
+            elif args.command == "audit":
                 out = audit_data(spark, args.data)
             elif args.command == "run":
                 out = run(spark, artifacts.RunConfig(args.data, args.output, args.retrieval_k, args.reader_k))
             else:
                 corpus, asked = jsonl.scan_corpus(spark, f"{args.data}/corpus.jsonl"), jsonl.scan_requests(spark, args.requests)
                 ranking = bm25.search(asked, corpus, 5)
-                got = reader.predict(asked, ranking, corpus, reader.LexicalReader(), args.threshold).join(asked.select("query_id", "_ord"), "query_id")
-                out = jsonl.sink_predictions(got.withColumn("error", F.lit(None).cast("string")), args.output)
+                got = reader.predict(asked, ranking, corpus, reader.LexicalReader(), args.threshold, continue_on_error=args.continue_on_error)
+                got = got if args.continue_on_error else got.withColumn("error", F.lit(None).cast("string"))
+                out = jsonl.sink_predictions(got.join(asked.select("query_id", "_ord"), "query_id"), args.output)
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

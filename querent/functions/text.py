@@ -88,6 +88,12 @@ def normalize_squad(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "), rf"(?U){SPACE}+", " "))
 
 
+@F.pandas_udf(T.StringType())
+def composed(s: pd.Series) -> pd.Series:
+    """The canonical composition (NFC) of a text, which makes spellings of one label equal."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
 @F.pandas_udf(T.StringType())
 def normalize_unicode(s: pd.Series) -> pd.Series:
     """As ``normalize_squad`` after NFKC and case folding, with all Unicode punctuation deleted."""
@@ -132,12 +138,22 @@ def answer_f1(answer: Column, answers: Column) -> Column:
     return F.array_max(F.transform(gold_tokens(answers), lambda g: _token_f1(own, g)))
 
 
+def _occurrences(text: str | None, answer: str | None) -> list[dict]:
+    out, at = [], text.find(answer) if text and answer else -1
+    while at >= 0:
+        out.append({"start": at, "end": at + len(answer)})
+        at = text.find(answer, at + 1)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def _answer_spans(text: pd.Series, answer: pd.Series) -> pd.Series:
+    return pd.Series([_occurrences(t, a) for t, a in zip(text, answer)])
+
+
 def answer_spans(text: Column, answer: Column) -> Column:
-    """(start, end) of every literal occurrence, overlapping ones included."""
-    last = F.length(text) - F.length(answer)
-    starts = F.when((F.length(answer) > 0) & (last >= 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(starts, lambda i: F.substring(text, i + 1, F.length(answer)) == answer)
-    return F.transform(hits, lambda i: F.struct(i.alias("start"), (i + F.length(answer)).alias("end")))
+    """(start, end) of every literal occurrence, overlapping ones included; none of a null or empty answer, or in a null text."""
+    return _answer_spans(text, answer)
 
 
 def valid_span(text: Column, answer: Column, start: Column, end: Column) -> Column:

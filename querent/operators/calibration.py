@@ -125,6 +125,24 @@ def reliability_bins(rows: DataFrame, bins: int = 10, by: tuple[str, ...] = ())
     return joined.select(*by, "bin", "count", "mean_confidence", "accuracy", gap.alias("gap"))
 
 
+def assert_support(rows: DataFrame, min_class_count: int = 1, by: tuple[str, ...] = ()) -> None:
+    """ValueError unless each group has so many answerable and so many unanswerable rows."""
+    counts = rows.groupBy(*by).agg(F.count_if(F.size("answers") > 0).alias("answerable"), F.count_if(F.size("answers") == 0).alias("unanswerable"))
+    short = counts.filter(F.least("answerable", "unanswerable") < min_class_count).limit(1).collect()
+    if short or (not by and counts.filter("answerable + unanswerable > 0").isEmpty()):
+        raise ValueError(f"each class needs {min_class_count} rows: {short[0].asDict() if short else 'no rows'}")
+
+
+def place_folds(rows: DataFrame, groups: DataFrame, key: str = "query_id") -> DataFrame:
+    """Rows with the ``fold`` of ``groups`` (key, fold); ValueError unless the groups cover the rows' ids exactly, each once."""
+    if twice := groups.groupBy(key).count().filter("count > 1").limit(1).collect():
+        raise ValueError(f"{twice[0][key]} is in several folds")
+    ids = rows.select(key).distinct().withColumn("_row", F.lit(True)).join(groups.select(key, F.lit(True).alias("_group")), key, "full_outer")
+    if off := ids.filter("_row is null or _group is null").limit(1).collect():
+        raise ValueError(f"the folds don't cover the rows: {off[0][key]}")
+    return rows.join(groups.select(key, "fold"), key)
+
+
 def cross_validate(rows: DataFrame, fold: Column, folds: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., fold, threshold, accepted, coverage, selective_em): fitted on the other folds, scored on the fold."""
     if isinstance(folds, bool) or folds < 2:

@@ -6,11 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from querent.functions.text import discount
+from querent.functions.text import discount, has_answer
 
 CUTOFFS = (1, 3, 5)
 
 
+def invalid_rankings(rows: DataFrame, ranked: str = "ranked_ids", relevant: str = "relevant_ids", key: str = "query_id") -> DataFrame:
+    """(key, rule): rows whose ranking or relevant ids are missing, repeat an id, or have a blank one; grades are held by ``invalid_grades``."""
+    def broken(c: str) -> Column:
+        ids = F.col(c)
+        return F.when(ids.isNull(), f"{c} missing").when(F.size(F.array_distinct(ids)) < F.size(ids), f"{c} repeated").when(~F.forall(ids, has_answer), f"{c} blank")
+
+    rules = rows.select(key, F.explode(F.array_compact(F.array(broken(ranked), broken(relevant)))).alias("rule"))
+    return rules.withColumnRenamed(key, "key")
+
+
+def invalid_grades(grades: DataFrame) -> DataFrame:
+    """(query_id, doc_id): grades that aren't finite numbers from 0 to 32."""
+    ok = F.col("grade").isNotNull() & ~F.isnan(F.col("grade").cast("double")) & F.col("grade").between(0, 32)
+    return grades.filter(~ok).select("query_id", "doc_id")
+
+
 def hits_at(ranked: Column, relevant: Column, k: int) -> Column:
     return F.size(F.array_intersect(F.slice(ranked, 1, k), relevant))
 

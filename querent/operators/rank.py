@@ -90,6 +90,16 @@ def retrieve_batch(queries: DataFrame, ranking: DataFrame) -> DataFrame:
     return queries.select("query_id").join(lists, "query_id", "left").select("query_id", F.coalesce("ranked", empty).alias("ranked"))
 
 
+def assert_batch(queries: DataFrame, ranking: DataFrame, k: int) -> None:
+    """ValueError unless query ids are unique, and every ranking belongs to one of them, has at most k ids and none twice."""
+    twice = queries.groupBy("query_id").count().filter("count > 1").select(F.lit("repeated query id").alias("rule"), F.col("query_id").cast("string").alias("key"))
+    stray = ranking.join(queries, "query_id", "left_anti").select(F.lit("unknown query id").alias("rule"), F.col("query_id").cast("string").alias("key"))
+    sizes = ranking.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))
+    off = sizes.filter((F.col("n") > k) | (F.col("ids") < F.col("n"))).select(F.lit("too many or repeated ids").alias("rule"), F.col("query_id").cast("string").alias("key"))
+    if found := twice.unionByName(stray).unionByName(off).limit(5).collect():
+        raise ValueError("; ".join(f"{r['rule']}: {r['key']}" for r in found))
+
+
 def valid_ranked(ranking: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """(rule, query_id, detail): violations of a long-form ranking; sortedness is not required."""
     unknown = ranking.join(corpus.select("doc_id"), "doc_id", "left_anti").select(F.lit("unknown id").alias("rule"), "query_id", F.col("doc_id").alias("detail"))

@@ -42,18 +42,31 @@ class LexicalReader:
         return best
 
 
-def reader_trace(candidates: DataFrame, reader: Reader) -> DataFrame:
-    """Adds answer, confidence, start, end to rows (query_id, question, document_id, rank, text)."""
+def reader_trace(candidates: DataFrame, reader: Reader, continue_on_error: bool = False) -> DataFrame:
+    """Adds answer, confidence, start, end to rows (query_id, question, document_id, rank, text).
+
+    With ``continue_on_error`` also ``error``: what the reader raised on a row, which then has a blank
+    answer; without, the first error ends the job.
+    """
+
+    def read(question: str, text: str) -> tuple:
+        try:
+            return (*reader.read(question, text), None)
+        except Exception as e:  # noqa: BLE001 - whatever a reader raises belongs to its row
+            if not continue_on_error:
+                raise
+            return "", 0.0, None, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            spans = [reader.read(q, t) for q, t in zip(pdf["question"], pdf["text"])]
-            got = pd.DataFrame(spans, columns=["answer", "confidence", "start", "end"], index=pdf.index)
-            yield pd.concat([pdf[["query_id", "document_id", "rank", "text"]], got], axis=1)
+            spans = [read(q, t) for q, t in zip(pdf["question"], pdf["text"])]
+            got = pd.DataFrame(spans, columns=["answer", "confidence", "start", "end", "error"], index=pdf.index)
+            got = got.astype({"start": "Int32", "end": "Int32"})
+            yield pd.concat([pdf[["query_id", "document_id", "rank", "text"]], got if continue_on_error else got.drop(columns="error")], axis=1)
 
     kinds = dict(candidates.dtypes)
     src = candidates.filter("question is not null and text is not null").select("query_id", "question", "document_id", "rank", "text")
-    return src.mapInPandas(run, f"query_id {kinds['query_id']}, document_id {kinds['document_id']}, rank int, text string, {TRACE}")
+    return src.mapInPandas(run, f"query_id {kinds['query_id']}, document_id {kinds['document_id']}, rank int, text string, {TRACE}" + (", error string" if continue_on_error else ""))
 
 
 def invalid_results(trace: DataFrame) -> DataFrame:
@@ -87,18 +100,26 @@ def oracle_reader(queries: DataFrame, corpus: DataFrame, reader: Reader) -> Data
     return scored.select("query_id", F.col("raw_answer").alias("oracle_answer"), answer_em(F.col("raw_answer"), F.col("answers")).alias("oracle_em"), answer_f1(F.col("raw_answer"), F.col("answers")).alias("oracle_f1"))
 
 
-def predict(queries: DataFrame, ranking: DataFrame, corpus: DataFrame, reader: Reader, threshold: float, reader_k: int = 3, strategy: str = "max_score") -> DataFrame:
-    """(query_id, answer, confidence, abstained, document_id, start, end, retrieved_ids): nulls where it abstains."""
+def predict(queries: DataFrame, ranking: DataFrame, corpus: DataFrame, reader: Reader, threshold: float, reader_k: int = 3, strategy: str = "max_score", continue_on_error: bool = False) -> DataFrame:
+    """(query_id, answer, confidence, abstained, document_id, start, end, retrieved_ids): nulls where it abstains.
+
+    With ``continue_on_error`` also ``error``, the first that the reader raised on a document of the question.
+    """
     top = ranking.filter(F.col("rank") <= reader_k).select("query_id", F.col("doc_id").alias("document_id"), "rank")
     rows = top.join(queries.select("query_id", "question"), "query_id").join(corpus.select(F.col("doc_id").alias("document_id"), "text"), "document_id")
-    picked = select_answer(reader_trace(rows, reader), queries, strategy)
+    trace = reader_trace(rows, reader, continue_on_error)
+    picked = select_answer(trace, queries, strategy)
+    if continue_on_error:
+        # the trace is read twice; the reader must give the same again, as after the loss of an executor
+        picked = picked.join(trace.groupBy("query_id").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("rank"))).alias("error")), "query_id", "left")
     listed = ranking.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
     joined = picked.join(listed, "query_id", "left")
     ok = has_answer(F.col("raw_answer")) & (F.col("confidence") >= threshold)
     only = lambda c: F.when(ok, F.col(c)).alias(c)
     # the served string has a blank after each comma
-    ids = F.concat(F.lit("["), F.concat_ws(", ", F.transform(F.coalesce("ids", F.array()), lambda d: F.concat(F.lit('"'), d, F.lit('"')))), F.lit("]"))
-    return joined.select("query_id", F.when(ok, F.col("raw_answer")).otherwise("").alias("answer"), "confidence", (~ok).alias("abstained"), only("document_id"), only("start"), only("end"), ids.alias("retrieved_ids"))
+    written = lambda d: F.regexp_extract(F.to_json(F.array(d)), r"(?s)^\[(.*)\]$", 1)
+    ids = F.concat(F.lit("["), F.concat_ws(", ", F.transform(F.coalesce("ids", F.array()), lambda d: written(d.cast("string")))), F.lit("]"))
+    return joined.select("query_id", F.when(ok, F.col("raw_answer")).otherwise("").alias("answer"), "confidence", (~ok).alias("abstained"), only("document_id"), only("start"), only("end"), ids.alias("retrieved_ids"), *(["error"] if continue_on_error else []))
 
 
 def top_of_trace(trace: DataFrame) -> DataFrame:

@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querent.functions.text import answer_em, answer_f1, has_answer
+from querent.functions.text import answer_em, answer_f1, composed, has_answer
 from querent.operators.metrics import CUTOFFS, hits_at, retrieval_aggregates
 
 # The failure classes, in order of attribution.
 FAILURES = ("correct_abstention", "unanswerable_false_positive", "retrieval_miss", "false_abstention", "correct", "reader_failure")
 READER_K = 3
 
+#: Groups up to this number have their largest weights broadcast.
+SMALL_GROUPS = 100_000
+
 
 def accepted(answer: Column, confidence: Column, threshold: Column) -> Column:
     """A nonblank answer whose confidence reaches the threshold; without a threshold every nonblank one."""
@@ -65,9 +68,13 @@ def failure_counts(column: str = "failure") -> list[Column]:
     return [F.count_if(F.col(column) == name).alias(name) for name in FAILURES]
 
 
-def latency_percentiles(columns: tuple[str, ...] = ("retrieval_ms", "reader_ms", "total_ms")) -> list[Column]:
-    """Exact medians and 95th percentiles with linear interpolation."""
-    return [F.percentile(c, F.lit(share)).alias(f"{c[:-3]}_p{round(share * 100)}_ms") for c in columns for share in (0.5, 0.95)]
+def latency_percentiles(columns: tuple[str, ...] = ("retrieval_ms", "reader_ms", "total_ms"), accuracy: int | None = None) -> list[Column]:
+    """Medians and 95th percentiles: exact with linear interpolation, which holds the distinct values of a group in memory.
+
+    With ``accuracy`` from a sketch of bounded size instead, whose rank is at most 1 / accuracy of the group's rows off.
+    """
+    at = (lambda c, share: F.percentile(c, F.lit(share))) if accuracy is None else (lambda c, share: F.approx_percentile(c, share, accuracy).cast("double"))
+    return [at(c, share).alias(f"{c[:-3]}_p{round(share * 100)}_ms") for c in columns for share in (0.5, 0.95)]
 
 
 def score_predictions(rows: DataFrame, threshold: Column | float | None = None, by: tuple[str, ...] = (), cutoffs: tuple[int, ...] = CUTOFFS, reader_k: int = READER_K) -> DataFrame:
@@ -78,12 +85,19 @@ def score_predictions(rows: DataFrame, threshold: Column | float | None = None,
 def slice_metrics(rows: DataFrame, labels: DataFrame, threshold: Column | float | None = None) -> DataFrame:
     """The metrics of each label of ``labels`` (query_id, labels); a row counts once for each of its labels.
 
-    Labels are trimmed; rows without one are left out.
+    Labels are trimmed and compared in their composed form, a row's repeated ones count once; rows
+    without one are left out. ``unknown_labelled`` finds annotations of ids that no row has.
     """
-    own = labels.select("query_id", F.explode(F.array_distinct(F.transform("labels", F.trim))).alias("label")).filter("label <> ''").distinct()
+    each = labels.select("query_id", F.explode("labels").alias("label")).filter("label is not null")
+    own = each.select("query_id", F.trim(composed("label")).alias("label")).filter("label <> ''").distinct()
     return scored(rows.join(own, "query_id"), threshold).groupBy("label").agg(*metric_aggregates())
 
 
+def unknown_labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(query_id): annotated ids that no row has."""
+    return labels.select("query_id").distinct().join(rows.select("query_id"), "query_id", "left_anti")
+
+
 def citation_metrics(by: tuple[str, ...], rows: DataFrame) -> DataFrame:
     """(citation_precision, supported_em): cited documents that are relevant among accepted answers; exact answers with a relevant citation among all rows."""
     supported = F.array_contains("relevant_ids", F.col("document_id"))
@@ -95,10 +109,21 @@ def citation_metrics(by: tuple[str, ...], rows: DataFrame) -> DataFrame:
 
 
 def weighted_mean(rows: DataFrame, value: str, weight: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sum of value * weight by sum of weight, with weights scaled by the largest of the group; null if all are 0."""
-    top = F.max(weight)
-    sums = rows.groupBy(*by).agg(F.sum(F.col(value) * F.col(weight)).alias("_vw"), F.sum(weight).alias("_w"), top.alias("_top"))
-    return sums.select(*by, F.when(F.col("_top") > 0, (F.col("_vw") / F.col("_top")) / (F.col("_w") / F.col("_top"))).alias("weighted_mean"))
+    """Sum of value * weight by sum of weight; null if all weights are 0.
+
+    Weights are divided by the largest of their group before anything is summed, so that they may be as
+    large as numbers go. A negative, missing or infinite weight makes its group's mean NaN.
+    """
+    kept = rows.select(*by, F.col(value).alias("_v"), F.col(weight).cast("double").alias("_w"))
+    bad = F.col("_w").isNull() | F.isnan("_w") | (F.col("_w") < 0) | (F.col("_w") == float("inf"))
+    tops = kept.groupBy(*by).agg(F.max("_w").alias("_top"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("_bad"))
+    if by:
+        joined = kept.join(F.broadcast(tops) if tops.count() <= SMALL_GROUPS else tops, list(by))
+    else:
+        joined = kept.withColumn("_top", tops.select("_top").scalar()).withColumn("_bad", tops.select("_bad").scalar())
+    scaled = joined.withColumn("_w", F.try_divide("_w", "_top"))
+    sums = scaled.groupBy(*by).agg(F.sum(F.col("_v") * F.col("_w")).alias("_vw"), F.sum("_w").alias("_sum"), F.max("_top").alias("_top"), F.max("_bad").alias("_bad"))
+    return sums.select(*by, F.when(F.col("_bad"), float("nan")).when(F.col("_top") > 0, F.col("_vw") / F.col("_sum")).alias("weighted_mean"))
 
 
 def collect_predictions(samples: DataFrame) -> DataFrame:

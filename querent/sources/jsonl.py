@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,6 +147,7 @@ def sink_predictions(results: DataFrame, path: str, order: str = "_ord") -> dict
     body = [c for c in results.columns if c not in (order, "error")]
     line = F.when(F.col("error").isNotNull(), F.to_json(F.struct("query_id", "error"))).otherwise(F.to_json(F.struct(*body), {"ignoreNullFields": "false"}))
     ordered = results.select(order, F.col("error").isNull().alias("ok"), line.alias("value")).orderBy(order)
-    ordered.select("value").write.mode("errorifexists").text(path)
-    counts = results.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad")).first()
-    return {"succeeded": counts["ok"], "failed": counts["bad"]}
+    seen = Observation("predictions")
+    counted = ordered.observe(seen, F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("bad"))
+    counted.select("value").write.mode("errorifexists").text(path)
+    return {"succeeded": seen.get["ok"], "failed": seen.get["bad"]}

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -211,3 +212,69 @@ def test_selection_and_prediction(spark, corpus):
     assert got["none"]["abstained"] and got["none"]["start"] is None
     trace = reader.reader_trace(bm25.search(q, corpus).join(q, "query_id").join(corpus, "doc_id").withColumnRenamed("doc_id", "document_id"), reader.LexicalReader())
     assert reader.invalid_results(trace).count() == 0
+
+
+def test_weights_of_any_size_and_bad_ones(spark):
+    top = 1.7e308
+    df = spark.createDataFrame([("a", 1.0, top), ("a", 0.0, top), ("b", 1.0, -1.0), ("b", 1.0, 2.0), ("c", 1.0, 0.0), ("d", 5.0, 1e-300)], "g string, v double, w double")
+    got = {r["g"]: r["weighted_mean"] for r in scoring.weighted_mean(df, "v", "w", ("g",)).collect()}
+    assert got["a"] == 0.5 and got["b"] != got["b"] and got["c"] is None and got["d"] == 5.0
+    assert scoring.weighted_mean(df.filter("g = 'a'"), "v", "w").first()[0] == 0.5
+
+
+def test_a_failing_reader_and_ids_with_quotes(spark):
+    class Fails:
+        def read(self, question, text):
+            if "bad" in text:
+                raise KeyError("no")
+            return text, 0.9, 0, len(text)
+
+    q = spark.createDataFrame([("q1", "a?"), ("q2", "b?")], "query_id string, question string")
+    docs = spark.createDataFrame([('d"1\\', "fine"), ("d2", "bad")], "doc_id string, text string")
+    ranking = spark.createDataFrame([("q1", 'd"1\\', 1), ("q2", "d2", 1)], "query_id string, doc_id string, rank int")
+    got = {r["query_id"]: r for r in reader.predict(q, ranking, docs, Fails(), 0.5, continue_on_error=True).collect()}
+    assert json.loads(got["q1"]["retrieved_ids"]) == ['d"1\\'] and got["q1"]["error"] is None and got["q1"]["answer"] == "fine"
+    assert "KeyError" in got["q2"]["error"] and got["q2"]["abstained"]
+
+
+def test_guards_of_batches_metrics_and_folds(spark):
+    q = spark.createDataFrame([("a",), ("b",)], "query_id string")
+    good = spark.createDataFrame([("a", "d1", 1), ("a", "d2", 2)], "query_id string, doc_id string, rank int")
+    rank.assert_batch(q, good, 2)
+    for queries, ranking in ((q.unionByName(q), good), (q, good.withColumn("query_id", F.lit("z"))), (q, good.withColumn("doc_id", F.lit("d")))):
+        with pytest.raises(ValueError, match=r"repeated|unknown"):
+            rank.assert_batch(queries, ranking, 2)
+    rows = spark.createDataFrame([("a", ["x", "x"], ["y"]), ("b", None, [" "]), ("c", ["x"], [])], "query_id string, ranked_ids array<string>, relevant_ids array<string>")
+    assert sorted(tuple(r) for r in metrics.invalid_rankings(rows).collect()) == [("a", "ranked_ids repeated"), ("b", "ranked_ids missing"), ("b", "relevant_ids blank")]
+    grades = spark.createDataFrame([("a", "d1", 33.0), ("a", "d2", 3.0), ("b", "d1", float("nan"))], "query_id string, doc_id string, grade double")
+    assert metrics.invalid_grades(grades).count() == 2
+    folds = spark.createDataFrame([("a", 0), ("b", 1), ("c", 0)], "query_id string, fold int")
+    assert calibration.place_folds(rows, folds).count() == 3
+    for bad in (folds.filter("query_id <> 'c'"), folds.unionByName(folds.limit(1))):
+        with pytest.raises(ValueError):
+            calibration.place_folds(rows, bad)
+    labelled = spark.createDataFrame([("a", ["café", "café "]), ("zz", ["x"])], "query_id string, labels array<string>")
+    assert [r[0] for r in scoring.unknown_labelled(rows, labelled).collect()] == ["zz"]
+
+
+def test_reports_are_compared_by_their_evidence(spark):
+    report = {"schema_version": 1, "data_file_sha256": {"a": "x"}, "latency_protocol": {"k": 5}, "models": {"encoder": {"fingerprint": "e"}, "reader": {"fingerprint": "r"}}, "experiments": {"one": {}, "two": {}}, "hardware": {"cpu": 1}}
+    rows = spark.createDataFrame([(e, f"q{i}", float(i % 2)) for e in ("one", "two") for i in range(6)], "experiment string, query_id string, answer_em double")
+    got = compare.compare_benchmarks(report, report | {"experiments": {"two": {}}}, rows, rows.withColumn("answer_em", F.lit(0.0))).collect()
+    assert [(r["experiment"], r["estimate"], r["wins"], r["latency_comparable"]) for r in got] == [("two", 0.5, 3, True)]
+    for other in (report | {"latency_protocol": {"k": 4}}, report | {"experiments": {}}, report | {"schema_version": True}, report | {"experiments": {"three": {}}}):
+        with pytest.raises(ValueError):
+            compare.compare_benchmarks(report, other, rows, rows)
+    with pytest.raises(ValueError, match="one side"):
+        compare.compare_benchmarks(report, report, rows, rows.filter("query_id <> 'q1'"))
+
+
+def test_an_index_is_written_and_searched_again(spark, corpus, tmp_path):
+    index = bm25.build_index(corpus, block_docs=1)
+    index.save(str(tmp_path / "i"))
+    again = bm25.Index.load(spark, str(tmp_path / "i"))
+    q = asked(spark, ("q1", "aster keys"), ("q2", "archive"))
+    want = sorted((r["query_id"], r["doc_id"], round(r["score"], 9), r["rank"]) for r in bm25.search(q, corpus).collect())
+    assert want and sorted((r["query_id"], r["doc_id"], round(r["score"], 9), r["rank"]) for r in bm25.search_index(q, again).collect()) == want
+    assert again.fingerprint == bm25.build_index(corpus.repartition(3)).fingerprint != bm25.build_index(corpus.limit(1)).fingerprint
+    assert bm25.search(q, corpus.limit(0)).count() == 0 and bm25.search(q.limit(0), corpus).count() == 0

@@ -131,3 +131,42 @@ def test_request_stream(spark, tmp_path, data):
     answer_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"), docs).awaitTermination()
     got = {r["query_id"]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).select("query_id", F.coalesce(F.size("ranked"), F.lit(0)).alias("n")).collect()}
     assert got["r1"] == 1 and got["bad id"] <= 0
+
+
+def test_contracts_tell_every_broken_rule():
+    counts = {"documents": 1, "development_queries": 1, "held_out_queries": 2}
+    own = {"kind": "k", "license": "l", "permission": "p", "counts": counts}
+    artifacts.valid_provenance(own, counts)
+    for bad in (own | {"counts": counts | {"documents": True}}, own | {"license": " "}, own | {"counts": counts | {"documents": 2}}, [], None):
+        with pytest.raises(ValueError):
+            artifacts.valid_provenance(bad, counts)
+    from querent.sources.contracts import faults
+
+    assert len(faults("calibration", {"schema_version": True})) == 5
+
+
+def test_changed_gold_answers_change_the_development_fingerprint(spark):
+    schema = "query_id string, raw_answer string, confidence double, answers array<string>, ranked_ids array<string>, relevant_ids array<string>"
+    rows = [("a", "x", 0.5, ["x"], ["d1"], ["d1"]), ("b", "", 0.1, [], ["d2"], [])]
+    prints = [artifacts.development_fingerprint(spark.createDataFrame(r, schema)) for r in (rows, rows[::-1], [("a", "x", 0.5, ["y"], ["d1"], ["d1"]), rows[1]])]
+    assert prints[0] == prints[1] != prints[2]
+
+
+@pytest.mark.parametrize("names", [("a/../b",), ("a", "a"), ("a", "a/b"), ("a:b",), ("./a",)])
+def test_archives_with_unsafe_or_colliding_names(tmp_path, names):
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        for n in names:
+            z.writestr(n, "x")
+    with pytest.raises(ValueError, match=r"unsafe|twice|at once"):
+        artifacts.import_bundle(tmp_path / "bad.zip", tmp_path / "out")
+    assert not (tmp_path / "out").exists()
+
+
+def test_runs_are_compared(spark, data, tmp_path, capsys):
+    report = cli.run(spark, artifacts.RunConfig(str(data), str(tmp_path / "a"), samples=50))
+    assert set(report["experiments"]) == {"lexical", "dense", "fused"}
+    assert cli.main(["compare", str(tmp_path / "a"), str(tmp_path / "a")]) == 0
+    got = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert [(r["experiment"], r["estimate"], r["ties"], r["latency_comparable"]) for r in got] == [(e, 0.0, 2, True) for e in ("dense", "fused", "lexical")]
+    lines = [json.loads(x)["stage"] for x in (tmp_path / "a" / "log.jsonl").read_text().splitlines()]
+    assert lines == ["running", "index", "predict", "score", "complete"]
