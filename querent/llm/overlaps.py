@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querent.llm.terms import format_characters
+from querent.llm.terms import folded
 from querent.plans.skew import join_on_hot_key
 from querent.plans.staging import Stage
 from querent.plans.workers import once
@@ -43,8 +43,7 @@ def folded_words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = format_characters().sub("", unicodedata.normalize("NFKC", text)).lower()
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+        text = "".join(c for c in unicodedata.normalize("NFD", folded(text)) if unicodedata.category(c) != "Mn")
     return once(("words",), lambda: re.compile(r"[^\W_]+")).findall(text.lower())
 
 

@@ -20,19 +20,20 @@ K1, B = 1.2, 0.75
 LATIN_RUN = "[a-zß-öø-ɏ]{4,}"
 
 
-def _format_pattern() -> re.Pattern:
-    chars = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"]
-    return re.compile("[" + "".join(map(re.escape, chars)) + "]")
-
-
-def format_characters() -> re.Pattern:
+def format_characters() -> frozenset[str]:
     """The characters of category Cf of this Python's Unicode version."""
-    return once(("format characters",), _format_pattern)
+    return once(("format characters",), lambda: frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"))
 
 
 def folded(text: str) -> str:
     """NFKC, without format characters, in lower case."""
-    return text.lower() if text.isascii() else format_characters().sub("", unicodedata.normalize("NFKC", text)).lower()
+    if text.isascii():
+        return text.lower()
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    for c in format_characters().intersection(text):
+        text = text.replace(c, "")
+    return text.lower()
 
 
 def _count_terms(pattern: str):
