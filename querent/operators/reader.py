@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from querent.functions.text import answer_em, answer_f1, has_answer, valid_span
@@ -126,3 +127,29 @@ def top_of_trace(trace: DataFrame) -> DataFrame:
     """Marks the selected candidate of each query; all keep their retrieval rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "document_id")
     return trace.withColumn("selected", F.row_number().over(order) == 1)
+
+
+#: The served shape of a prediction; what an abstention leaves out is null.
+PREDICTION = T.StructType([
+    T.StructField("query_id", T.StringType(), False), T.StructField("answer", T.StringType(), False), T.StructField("confidence", T.DoubleType(), False),
+    T.StructField("abstained", T.BooleanType(), False), T.StructField("document_id", T.StringType()), T.StructField("start", T.IntegerType()),
+    T.StructField("end", T.IntegerType()), T.StructField("retrieved_ids", T.StringType(), False),
+])
+
+
+def prediction_frame(predictions: DataFrame) -> DataFrame:
+    """Predictions in the served shape: its columns in order, with its types."""
+    return predictions.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTION.fields])
+
+
+def predict_questions(spark: SparkSession, asked: pd.DataFrame, answer: Callable[[DataFrame], DataFrame]) -> pd.DataFrame:
+    """Predictions for a small pandas frame with the one column ``question``, under its index.
+
+    ``answer`` takes (query_id, question) and gives predictions; the frame's rows are told apart by
+    their position, so that repeated questions and index values keep their rows.
+    """
+    if list(asked.columns) != ["question"]:
+        raise ValueError("the frame must have the one column question")
+    rows = spark.createDataFrame([(str(i), q) for i, q in enumerate(asked["question"])], "query_id string, question string")
+    got = prediction_frame(answer(rows)).toPandas().set_index("query_id").reindex([str(i) for i in range(len(asked))])
+    return got.set_index(asked.index)

@@ -90,7 +90,7 @@ def slice_metrics(rows: DataFrame, labels: DataFrame, threshold: Column | float
     """
     each = labels.select("query_id", F.explode("labels").alias("label")).filter("label is not null")
     own = each.select("query_id", F.trim(composed("label")).alias("label")).filter("label <> ''").distinct()
-    return scored(rows.join(own, "query_id"), threshold).groupBy("label").agg(*metric_aggregates())
+    return scored(rows.join(own, "query_id"), threshold).groupBy("label").agg(*metric_aggregates()).orderBy("label")
 
 
 def unknown_labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:

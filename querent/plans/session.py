@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +27,17 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+@contextmanager
+def cpu_threads(spark: SparkSession, threads: int) -> Iterator[None]:
+    """Within, shuffles have as many partitions as threads are wanted; the setting before comes back."""
+    if type(threads) is not int or not 1 <= threads <= 256:
+        raise ValueError("threads must be from 1 to 256")
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(threads))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -1,6 +1,8 @@
 import json
 import zipfile
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +172,55 @@ def test_runs_are_compared(spark, data, tmp_path, capsys):
     assert [(r["experiment"], r["estimate"], r["ties"], r["latency_comparable"]) for r in got] == [(e, 0.0, 2, True) for e in ("dense", "fused", "lexical")]
     lines = [json.loads(x)["stage"] for x in (tmp_path / "a" / "log.jsonl").read_text().splitlines()]
     assert lines == ["running", "index", "predict", "score", "complete"]
+
+
+def test_matrices_are_told_by_their_header(spark, tmp_path):
+    from querent.sources.npy import npy_facts, read_npy
+
+    x = np.arange(12, dtype=np.float32).reshape(4, 3)
+    np.save(tmp_path / "x.npy", x)
+    facts = npy_facts(tmp_path / "x.npy", 4, 3)
+    assert (facts.rows, facts.dimension) == (4, 3)
+    assert [r["embedding"] for r in read_npy(spark, str(tmp_path / "x.npy")).orderBy("row").collect()] == x.tolist()
+    np.save(tmp_path / "f.npy", np.asfortranarray(x))
+    np.save(tmp_path / "i.npy", x.astype(int))
+    np.save(tmp_path / "v.npy", x.ravel())
+    (tmp_path / "t.npy").write_bytes((tmp_path / "x.npy").read_bytes()[:-1])
+    (tmp_path / "n.npy").write_bytes(b"no")
+    for bad in ("f", "i", "v", "t", "n"):
+        with pytest.raises(ValueError):
+            npy_facts(tmp_path / f"{bad}.npy")
+    for wrong in ({"rows": 5}, {"dimension": 2}, {"max_bytes": 8}):
+        with pytest.raises(ValueError):
+            npy_facts(tmp_path / "x.npy", **wrong)
+
+
+def test_models_are_copied_by_their_inventory(tmp_path):
+    (tmp_path / "m" / "sub").mkdir(parents=True)
+    (tmp_path / "m" / "sub" / "w.bin").write_bytes(b"1")
+    own = artifacts.model_inventory(tmp_path / "m")
+    artifacts.copy_verified_model(tmp_path / "m", tmp_path / "c", own)
+    assert artifacts.model_inventory(tmp_path / "c") == own
+    (tmp_path / "m" / "extra").write_bytes(b"2")
+    with pytest.raises(ValueError):
+        artifacts.copy_verified_model(tmp_path / "m", tmp_path / "d", own)
+    assert not (tmp_path / "d").exists()
+
+
+def test_small_frames_keep_their_index(spark):
+    from querent.operators import reader
+    from querent.plans.session import cpu_threads
+
+    def answer(rows):
+        return rows.select("query_id", F.col("question").alias("answer"), F.lit(0.5).alias("confidence"), F.lit(False).alias("abstained"), F.lit(None).cast("string").alias("document_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit("[]").alias("retrieved_ids"))
+
+    got = reader.predict_questions(spark, pd.DataFrame({"question": ["b", "a", "b"]}, index=[7, 7, 3]), answer)
+    assert list(got.index) == [7, 7, 3] and list(got["answer"]) == ["b", "a", "b"] and list(got.columns) == [f.name for f in reader.PREDICTION.fields][1:]
+    with pytest.raises(ValueError):
+        reader.predict_questions(spark, pd.DataFrame({"q": []}), answer)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with cpu_threads(spark, 3):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    with pytest.raises(ValueError), cpu_threads(spark, 0):
+        pass
