@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from querent.llm import mixing, neighbours, overlaps, packing, percentiles, pieces, related_splits, sentences, terms
+from querent.plans.staging import Stage
 
 TIMINGS = ["retrieval_ms", "reader_ms", "total_ms"]
 SHARES = [0.5, 0.9, 0.95, 0.99]
@@ -114,12 +116,55 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets")).shares
 
 
+def p2_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each split holds within 0.02 of its share of the rows, and how many groups stand in several splits."""
+    placed = Stage(spark, "audit").write(_splits(spark, sf), "placed")
+    rows = _read(spark, sf, "queries").filter("query_id is not null").groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"))
+    weighed = placed.join(rows, "query_id").groupBy("split_name").agg(F.sum("rows").alias("rows"))
+    total = _read(spark, sf, "queries").filter("query_id is not null").agg(F.count(F.lit(1))).scalar()
+    torn = placed.groupBy("group_id").agg(F.count_distinct("split_name").alias("n")).agg(F.count_if(F.col("n") > 1)).scalar()
+    plan = _read(spark, sf, "split_plan").join(weighed, "split_name", "left")
+    near = F.abs(F.coalesce("rows", F.lit(0)) / total - F.col("target_share")) <= 0.02
+    return plan.select("split_name", near.alias("near"), torn.alias("torn"))
+
+
+def p3_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each oversized text: where its pieces begin and end, whether they fit, and how many leave a gap."""
+    pieces_ = pieces.split_oversized(_read(spark, sf, "corpus"))
+    before = F.lag("end").over(Window.partitionBy("parent_id").orderBy("start"))
+    seen = pieces_.withColumn("gap", F.col("start") > before)
+    return seen.groupBy("parent_id").agg(F.min("start").alias("first"), F.max("end").alias("last"), (F.max(F.col("end") - F.col("start")) <= pieces.LIMIT).alias("fits"), F.count_if("gap").alias("gaps"))
+
+
+def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many values each sketch stands for."""
+    return _sketches(spark, sf).select("experiment", "run_day", "field", "n")
+
+
+def p7_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each profile: containers over the capacity, and texts that were cut though they fit."""
+    profiles = _read(spark, sf, "pack_profiles").select("profile", "capacity_tokens").distinct()
+    packed = packing.pack_texts(_read(spark, sf, "documents"), profiles).join(F.broadcast(profiles), "profile")
+    size = F.col("tok_end") - F.col("tok_start")
+    boxes = packed.groupBy("profile", "container_id").agg((F.sum(size) > F.first("capacity_tokens")).alias("over")).groupBy("profile").agg(F.count_if("over").alias("over"))
+    texts = packed.groupBy("profile", "doc").agg((F.count(F.lit(1)) > F.ceil(F.sum(size) / F.first("capacity_tokens"))).alias("cut")).groupBy("profile").agg(F.count_if("cut").alias("cut"))
+    return boxes.join(texts, "profile")
+
+
+def p8_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each source that holds texts: texts that are used more often than they may be, and whether the report counts what was chosen."""
+    mix = mixing.mix_sources(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))
+    used = mix.chosen.groupBy("source").agg(F.max("uses").alias("most"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens"))
+    both = mix.shares.join(used, "source", "left")
+    return both.select("source", (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).alias("over"), (F.coalesce("tokens", F.lit(0)) == F.col("reached_tokens")).alias("counted"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentences(_read(spark, sf, "documents")).withColumnRenamed("doc", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_neighbours, p1_search, p2_found, p2_splits, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_percentiles, p5_all_days, p6_found, p6_terms, p7_packed, p7_fill, p8_mixture, p8_shares, p9_found]
+    named = [p1_found, p1_neighbours, p1_search, p2_found, p2_splits, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_percentiles, p5_all_days, p6_found, p6_terms, p7_packed, p7_fill, p8_mixture, p8_shares, p9_found, p2_audit, p3_audit, p5_counts, p7_audit, p8_audit]
     return {f.__name__: f for f in named}
 
 
@@ -128,6 +173,11 @@ def oracle_sql() -> dict[str, str]:
     ok = "{0} IS NOT NULL AND NOT isnan({0}) AND {0} >= 0 AND {0} < 600000"
     fields = " UNION ALL ".join(f"SELECT experiment, run_day, '{f}' AS field, {f} AS v FROM a WHERE {ok.format(f)}" for f in TIMINGS)
     return {
+        "p2_audit": "SELECT split_name, true AS near, 0 AS torn FROM split_plan",
+        "p3_audit": """SELECT doc_id AS parent_id, 0 AS first, length(text) AS last, true AS fits, 0 AS gaps FROM (SELECT DISTINCT doc_id, text FROM corpus WHERE length(text) > 512 AND doc_id IS NOT NULL)""",
+        "p5_counts": f"""WITH a AS (SELECT DISTINCT attempt_id, experiment, run_day, {', '.join(TIMINGS)} FROM runner), u AS ({fields}) SELECT experiment, run_day, field, count(*) AS n FROM u GROUP BY ALL""",
+        "p7_audit": "SELECT DISTINCT profile, 0 AS over, 0 AS cut FROM pack_profiles",
+        "p8_audit": "SELECT DISTINCT lower(trim(source)) AS source, false AS over, true AS counted FROM mix_targets WHERE target_share > 0",
         "p5_found": f"""
             WITH a AS (SELECT DISTINCT attempt_id, experiment, run_day, {', '.join(TIMINGS)} FROM runner),
             u AS ({fields})
