@@ -38,7 +38,7 @@ def evaluate(questions, corpus, ranking, config: artifacts.RunConfig):
     rank.assert_batch(questions, ranking, config.retrieval_k)
     lists = rank.retrieve_batch(questions, ranking).select("query_id", F.transform("ranked", lambda x: x["doc_id"]).alias("ranked_ids"))
     got = reader.predict(questions, ranking, corpus, reader.LexicalReader(), 0.0, config.reader_k).select("query_id", F.col("answer").alias("raw_answer"), "confidence", "document_id")
-    return questions.select("query_id", "answers", "relevant_ids").join(lists, "query_id").join(got, "query_id")
+    return questions.select("query_id", "split", "answers", "relevant_ids").join(lists, "query_id").join(got, "query_id")
 
 
 def run(spark, config: artifacts.RunConfig) -> dict:
@@ -53,29 +53,29 @@ def run(spark, config: artifacts.RunConfig) -> dict:
         _, vectors, manifest = artifacts.load_bundle(spark, f"{config.output}/bundle")
         artifacts.valid_index(manifest, facts["corpus_sha256"], encoder.fingerprint)
         artifacts.set_stage(config.output, "predict")
-        rows: dict = {}
-        for s in ("dev", "test"):
-            asked = jsonl.scan_queries(spark, f"{config.data}/{s}.jsonl", corpus)
-            for name, ranking in rankings(asked, corpus, index, vectors, encoder, config.retrieval_k).items():
-                rows.setdefault(name, {})[s] = evaluate(asked, corpus, ranking, config).persist()
+        # the splits share no id, as the audit found, so one search answers both
+        splits = {s: jsonl.scan_queries(spark, f"{config.data}/{s}.jsonl", corpus).withColumn("split", F.lit(s)) for s in ("dev", "test")}
+        asked = splits["dev"].unionByName(splits["test"])
+        ranked = rankings(asked, corpus, index, vectors, encoder, config.retrieval_k)
+        rows = {name: evaluate(asked, corpus, ranking, config).persist() for name, ranking in ranked.items()}
         artifacts.set_stage(config.output, "score")
         report = {
             "schema_version": 1, "data_audit": facts, "data_file_sha256": facts["manifest"]["files"], "protocol": config.protocol, "latency_protocol": config.protocol, "execution": artifacts.execution_info(spark),
             "hardware": artifacts.machine_info(), "models": {"encoder": {"fingerprint": encoder.fingerprint}, "reader": {"fingerprint": artifacts.canonical_hash("lexical reader 1")}}, "experiments": {},
         }
         for name, own in rows.items():
-            calibration.assert_support(own["dev"])
-            best = calibration.calibrate_threshold(own["dev"]).first()
+            dev = own.filter("split = 'dev'")
+            calibration.assert_support(dev)
+            best = calibration.calibrate_threshold(dev).first()
             frozen = {"split": "dev", "threshold": best["threshold"], "objective_value": best["balanced_accuracy"]}
-            bound = artifacts.bind_calibration(frozen, facts["manifest"]["sha256"], artifacts.development_fingerprint(own["dev"]))
+            bound = artifacts.bind_calibration(frozen, facts["manifest"]["sha256"], artifacts.development_fingerprint(dev))
             artifacts.save_calibration(f"{config.output}/calibration-{name}.json", bound)
-            result = {"calibration": frozen, "metrics": {}, "answer_em": {}}
-            for s, r in own.items():
-                scored = scoring.scored(r, best["threshold"], config.reader_k)
-                scored.write.parquet(f"{config.output}/rows/experiment={name}/split={s}")
-                result["metrics"][s] = scored.agg(*scoring.metric_aggregates(config.cutoffs)).first().asDict()
-                result["answer_em"][s] = compare.bootstrap_mean(scored, "answer_em", (), max(2, config.samples), seed=config.seed).first().asDict()
-            report["experiments"][name] = result
+            scored = scoring.scored(own, best["threshold"], config.reader_k)
+            scored.write.partitionBy("split").parquet(f"{config.output}/rows/experiment={name}")
+            metrics = {r["split"]: r.asDict() for r in scored.groupBy("split").agg(*scoring.metric_aggregates(config.cutoffs)).collect()}
+            spread = {r["split"]: r.asDict() for r in compare.bootstrap_mean(scored, "answer_em", ("split",), max(2, config.samples), seed=config.seed).collect()}
+            report["experiments"][name] = {"calibration": frozen, "metrics": metrics, "answer_em": spread}
+            own.unpersist()
         report |= {"metrics": report["experiments"]["lexical"]["metrics"], "calibration": report["experiments"]["lexical"]["calibration"]}
         Path(config.output, "report.json").write_text(json.dumps(report, indent=2, allow_nan=False) + "\n", encoding="utf-8")
     return report
