@@ -1,13 +1,16 @@
 """Registered queries on small fixtures, held against plain Python."""
 
 import hashlib
+import re
 import unicodedata
+from collections import Counter
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from querent import catalog
-from querent.operators import audit, compare
+from querent.operators import audit, bm25, compare
 
 QUERIES = "query_id string, question string, relevant_ids array<string>, answers array<string>, split string, source string, created_at timestamp"
 CORPUS = "doc_id string, title string, text string, source string"
@@ -73,3 +76,56 @@ def test_coverage_of_every_experiment(spark):
     expected = spark.createDataFrame([(e, q) for e in "abc" for q in ("q1", "q2")], "experiment string, query_id string")
     want = [("a", "q2", "missing"), ("b", "q1", "missing"), ("b", "q3", "unexpected"), ("c", "q1", "missing"), ("c", "q2", "missing")]
     assert sorted(tuple(r) for r in audit.coverage_check(rows, expected, by=("experiment",)).collect()) == want
+
+
+def words(text):
+    return set(re.findall(r"\w+", (text or "").lower()))
+
+
+@pytest.fixture(scope="module")
+def shared_words(spark, tmp_path_factory):
+    """Texts and questions of which most share a word; also null, blank and repeated ones, and words that stand in titles only."""
+    texts = [None, "", " - ", "The THE the"] + [f"the text {i % 7} has w{i}" for i in range(200)]
+    docs = [(f"d{i}", None if i % 5 == 0 else f"title t{i % 3}", t, "s") for i, t in enumerate(texts)]
+    asked = [None, "", "?", "nothing asked", "THE", "title", "t1 or w7", "w3 w4, w3"] + [f"the w{i} and {i % 9}" for i in range(90)]
+    rows = [ask(f"q{i}", q, "test" if i % 2 else "dev") for i, q in enumerate(asked)]
+    return tables(spark, tmp_path_factory.mktemp("shared"), rows, docs), rows, docs
+
+
+@pytest.mark.parametrize(("name", "splits", "titles"), [("bm25_candidates_all", ("test", "dev"), True)])
+def test_candidates_are_counted_without_pairs(spark, shared_words, name, splits, titles):
+    sf, rows, docs = shared_words
+    have = [words(text) | (words(title) if titles else set()) for _, title, text, _ in docs]
+    counts = {r[0]: sum(bool(words(r[1]) & h) for h in have) for r in rows if r[4] in splits}
+    df = catalog.queries()[name](spark, sf)
+    assert {tuple(r) for r in df.select("query_id", "candidates").collect()} == {(q, n) for q, n in counts.items() if n} and max(counts.values()) > 190
+    # a join of questions and documents by word makes a row for each pair and shared word
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidate_counts_of_small_blocks(spark):
+    docs = [(f"d{i}", f"t{i % 4}", f"w{i % 3} v{i % 50}") for i in range(300)]
+    asked = [(f"q{i}", f"w{i % 3} x{i}" if i % 2 else f"v{i} t{i}") for i in range(60)] + [("q0", "w1"), ("e", None)]
+    corpus, queries = spark.createDataFrame(docs, "doc_id string, title string, text string"), spark.createDataFrame(asked, "query_id string, question string")
+    pairs = Counter(r["query_id"] for r in bm25.candidates(queries, corpus).collect())
+    for size in (1, 64, 70, 8192):
+        assert {tuple(r) for r in bm25.candidate_counts(queries, corpus, block_docs=size).collect()} == set(pairs.items())
+    assert bm25.candidate_counts(queries.limit(0), corpus).count() == bm25.candidate_counts(queries, corpus.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        bm25.candidate_counts(queries, corpus, block_docs=32_768)
+
+
+def test_united_words_of_a_block_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    documents, terms = 130, 40
+    have = [np.unique(np.r_[rng.integers(documents), np.flatnonzero(rng.random(documents) < share)]) for share in rng.random(terms) ** 3]
+    have[0], have[1] = np.arange(documents), np.array([63, 64, 129])
+    start, doc = np.cumsum([0, *map(len, have)]).astype(np.int32), np.concatenate(have).astype(np.int16)
+    place = np.r_[rng.permutation(terms), [-1] * 5].astype(np.int32)
+    size = rng.integers(0, 6, 50)
+    code = rng.integers(0, len(place), size.sum()).astype(np.int32)
+    want = [len(set().union(*(have[t] for t in place[c] if t >= 0))) for c in np.split(code, np.cumsum(size)[:-1])]
+    for some, together in ((32_768, 512), (7, 512), (7, 3), (1, 1)):
+        monkeypatch.setattr(bm25, "COUNTED_TERMS", some)
+        monkeypatch.setattr(bm25, "UNITED_QUERIES", together)
+        assert bm25._united(place, code, size, start, doc, documents).tolist() == want
