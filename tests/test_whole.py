@@ -7,6 +7,7 @@ from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from querent import catalog
@@ -103,12 +104,14 @@ def test_candidates_are_counted_without_pairs(spark, shared_words, name, splits,
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_candidate_counts_of_small_blocks(spark):
+def test_candidate_counts_of_small_blocks(spark, monkeypatch):
     docs = [(f"d{i}", f"t{i % 4}", f"w{i % 3} v{i % 50}") for i in range(300)]
     asked = [(f"q{i}", f"w{i % 3} x{i}" if i % 2 else f"v{i} t{i}") for i in range(60)] + [("q0", "w1"), ("e", None)]
     corpus, queries = spark.createDataFrame(docs, "doc_id string, title string, text string"), spark.createDataFrame(asked, "query_id string, question string")
     pairs = Counter(r["query_id"] for r in bm25.candidates(queries, corpus).collect())
-    for size in (1, 64, 70, 8192):
+    for size, together, visited in ((1, 4096, 64), (64, 3, 2), (70, 16, 64), (8192, 1, 3)):
+        monkeypatch.setattr(bm25, "COUNTED_QUERIES", together)
+        monkeypatch.setattr(bm25, "VISITED", visited)
         assert {tuple(r) for r in bm25.candidate_counts(queries, corpus, block_docs=size).collect()} == set(pairs.items())
     assert bm25.candidate_counts(queries.limit(0), corpus).count() == bm25.candidate_counts(queries, corpus.limit(0)).count() == 0
     with pytest.raises(ValueError):
@@ -129,3 +132,16 @@ def test_united_words_of_a_block_in_parts(monkeypatch):
         monkeypatch.setattr(bm25, "COUNTED_TERMS", some)
         monkeypatch.setattr(bm25, "UNITED_QUERIES", together)
         assert bm25._united(place, code, size, start, doc, documents).tolist() == want
+
+
+def test_blocks_of_counted_words_have_bounded_size():
+    lists = [["a", "b"], None, [], ["b"], ["c", "a"], ["d"], ["b", "e"]] * 100
+    batches = [pa.RecordBatch.from_arrays([pa.array(lists[lo : lo + 150], pa.list_(pa.string()))], ["words"]) for lo in range(0, len(lists), 150)]
+    for size, most in ((1, 10), (64, 10_000), (8192, 300), (8192, 10_000)):
+        got, n = [], 0
+        for b in bm25._terms_of_blocks(size, most)(iter(batches)):
+            term, start, doc = (b[c][0].as_py() for c in ("term", "start", "doc"))
+            got += sorted((n + d, t) for i, t in enumerate(term) for d in doc[start[i] : start[i + 1]])
+            assert b["documents"][0].as_py() <= size and all(doc[a:z] == sorted(doc[a:z]) for a, z in zip(start, start[1:]))
+            n += b["documents"][0].as_py()
+        assert n == len(lists) and got == [(i, t) for i, x in enumerate(lists) for t in sorted(x or [])]
