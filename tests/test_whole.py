@@ -93,7 +93,7 @@ def shared_words(spark, tmp_path_factory):
     return tables(spark, tmp_path_factory.mktemp("shared"), rows, docs), rows, docs
 
 
-@pytest.mark.parametrize(("name", "splits", "titles"), [("bm25_candidates_all", ("test", "dev"), True)])
+@pytest.mark.parametrize(("name", "splits", "titles"), [("bm25_candidates_all", ("test", "dev"), True), ("bm25_candidates", ("test",), False)])
 def test_candidates_are_counted_without_pairs(spark, shared_words, name, splits, titles):
     sf, rows, docs = shared_words
     have = [words(text) | (words(title) if titles else set()) for _, title, text, _ in docs]
